@@ -36,6 +36,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[65:91] += 32
+#: All but ASCII letters, digits and bytes of longer characters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+NOT_LETTER = NOT_ALNUM.copy()
+NOT_LETTER[48:58] = True
 
 
 def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -80,11 +85,11 @@ def slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of rows i..j: bounds in `data`, hashes, and for each row the range of its words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True, hashed: bool = True):
+    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True, hashed: bool = True, space: np.ndarray = _SPACE):
         lo, hi = int(off[i]), int(off[j])
         b = data[lo:hi]
         rows = off[i : j + 1] - lo
-        word = ~_SPACE[b]
+        word = ~space[b]
         edge = np.zeros(len(b) + 1, bool)
         edge[rows] = True
         first = word.copy()
@@ -102,6 +107,13 @@ class Words:
             h = total[self.end] - total[self.start]
             h *= down[self.start]
             self.hash = mix(h)
+            self._sums = total, down
+
+    def prefix_hash(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word, or of all if it has fewer."""
+        total, down = self._sums
+        end = np.minimum(self.end, self.start + n)
+        return mix((total[end] - total[self.start]) * down[self.start] + U(n))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each row's k-word shingles, in order, and the bounds of the rows; fewer words: all as one; none: none."""
