@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity
+from . import language, mixing, toxicity
 from .common import read, ship
 
 
@@ -23,7 +23,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out, lang_pred, score, shares."""
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op8_language": op8_language}
 SQL = {"op4_mixing": mixing.SQL}
 
 
