@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, toxicity
+from . import language, mixing, neardup, toxicity
 from .common import read, ship
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, on 4-word shingles at 0.8: doc_id, n_shingles, component_id, kept."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=4)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the default weights: doc_id, size, source_size, target, taken."""
     docs = read(spark, sf_dir, "documents")
@@ -30,8 +35,25 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op8_language": op8_language}
-SQL = {"op4_mixing": mixing.SQL}
+QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op8_language": op8_language}
+#: The duplicate links of whole texts by brute force over shared shingles, then the closure.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s FROM words),
+posts AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM posts a JOIN posts b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
+FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, s.s
+"""
+
+SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL}
 
 
 def queries() -> dict:
