@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, toxicity
-from .common import read, ship
+from . import language, mixing, neardup, toxicity, warc
+from .common import Scratch, read, ship
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    path = Scratch(spark, "warc").path("archive")
+    warc.write_warc(warc.to_records(read(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path, payload="response")
+    whole = F.col("payload").isNotNull()  # responses: measured on what the archive holds
+    size = F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    digest = F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    return back.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document: doc_id, held_out, lang_pred, score, shares."""
     docs = read(spark, sf_dir, "documents")
@@ -35,7 +46,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op8_language": op8_language}
+QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language}
 #: The duplicate links of whole texts by brute force over shared shingles, then the closure.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
@@ -53,7 +64,14 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id, s.doc
 FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, s.s
 """
 
-SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS m FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to FROM f
+"""
+
+SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL, "op7_warc": OP7_SQL}
 
 
 def queries() -> dict:

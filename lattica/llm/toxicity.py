@@ -28,7 +28,7 @@ from .common import crc32_of_id, env_threads
 from .textvec import NOT_ALNUM, U, Words, buffers, slices
 
 #: Bound of the labelled sample that the classifier is fitted on.
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 8000
 WIDTHS, FILTERS, DIM, BITS = (1, 2, 3), 8, 8, 20
 #: Lengths in bytes of the prefixes, and the (column, shift) of each table's bucket in a word's hashes.
 PREFIXES, PLACES = (4, 6), ((0, 0), (0, 32), (1, 0), (1, 32))
