@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, toxicity, warc
+from . import ann, language, mixing, neardup, toxicity, warc
 from .common import Scratch, read, ship
 
 
@@ -46,7 +46,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each embedding whose id is divisible by 20, among all others: query_id, rank, vec_id, score."""
+    return ann.neighbours(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann}
 #: The duplicate links of whole texts by brute force over shared shingles, then the closure.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
