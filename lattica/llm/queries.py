@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, neardup, toxicity, warc
+from . import ann, language, licenses, mixing, neardup, toxicity, warc
 from .common import Scratch, read, ship
 
 
@@ -51,7 +51,13 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, its own or inherited: doc_id, path, license, origin, score, inherited_from."""
+    path, opens = licenses.document_path()
+    return licenses.scan(read(spark, sf_dir, "documents"), path, opens)
+
+
+QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann, "op10_licenses": op10_licenses}
 #: The duplicate links of whole texts by brute force over shared shingles, then the closure.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
@@ -76,7 +82,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN m IS NULL OR m = page_i
   CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to FROM f
 """
 
-SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL, "op7_warc": OP7_SQL}
+SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL, "op7_warc": OP7_SQL, "op10_licenses": licenses.SQL}
 
 
 def queries() -> dict:
