@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, licenses, mixing, neardup, toxicity, warc
+from . import ann, html, language, licenses, mixing, neardup, passages, toxicity, warc
 from .common import Scratch, read, ship
 
 
@@ -20,6 +20,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 200-byte repeats cover: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    cut = passages.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("_ps_bytes").alias("n_bytes"), F.col("_ps_removed").alias("n_removed"), F.col("_ps_spans").alias("n_spans"), F.col("_ps_sha256").alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored for toxicity: doc_id, held_out, score, predicted."""
     docs = read(spark, sf_dir, "documents")
@@ -28,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages: page_id, url, text, n_chars."""
+    return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = Scratch(spark, "warc").path("archive")
@@ -57,7 +68,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), path, opens)
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann, "op10_licenses": op10_licenses}
+QUERIES = {"op1_neardup": op1_neardup, "op2_passages": op2_passages, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_html": op5_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann, "op10_licenses": op10_licenses}
 #: The duplicate links of whole texts by brute force over shared shingles, then the closure.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
@@ -75,6 +86,22 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id, s.doc
 FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, s.s
 """
 
+OP2_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+l AS (SELECT doc_id, [md5(x[p:p + 199]) for p in range(1, octet_length(x) - 198)] AS hs FROM b WHERE octet_length(x) >= 200),
+w AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM l),
+d AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM d),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 200 AS e FROM g GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, k, e AS f, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 9223372036854775807) AS t FROM s
+         UNION ALL SELECT b.doc_id, 0, 1, coalesce(min(a), 9223372036854775807) FROM b LEFT JOIN s USING (doc_id) GROUP BY b.doc_id),
+kept AS (SELECT c.doc_id, string_agg(hex(CASE WHEN f > octet_length(x) OR t <= f THEN ''::BLOB ELSE x[f:least(t - 1, octet_length(x))] END), '' ORDER BY k) AS hx FROM cuts c JOIN b USING (doc_id) GROUP BY c.doc_id),
+r AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT b.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(hx)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS m FROM p)
@@ -82,7 +109,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN m IS NULL OR m = page_i
   CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to FROM f
 """
 
-SQL = {"op1_neardup": OP1_SQL, "op4_mixing": mixing.SQL, "op7_warc": OP7_SQL, "op10_licenses": licenses.SQL}
+SQL = {"op1_neardup": OP1_SQL, "op2_passages": OP2_SQL, "op4_mixing": mixing.SQL, "op7_warc": OP7_SQL, "op10_licenses": licenses.SQL}
 
 
 def queries() -> dict:
