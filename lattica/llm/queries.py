@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, language, licenses, mixing, neardup, passages, toxicity, warc
+from . import ann, decontaminate, html, language, licenses, mixing, neardup, passages, toxicity, warc
 from .common import Scratch, read, ship
 
 
@@ -39,6 +39,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a benchmark item is found: doc_id, item_id, cosine, lcs, answer, kind."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = Scratch(spark, "warc").path("archive")
@@ -68,7 +73,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), path, opens)
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op2_passages": op2_passages, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_html": op5_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann, "op10_licenses": op10_licenses}
+QUERIES = {"op1_neardup": op1_neardup, "op2_passages": op2_passages, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_language": op8_language, "op9_ann": op9_ann, "op10_licenses": op10_licenses}
 #: The duplicate links of whole texts by brute force over shared shingles, then the closure.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
