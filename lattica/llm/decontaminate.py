@@ -120,48 +120,37 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, i
     return df, n
 
 
-def passages(positions: np.ndarray, words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of one document with any weight: number of each, bounds in entries, columns, and unit-length values."""
+def passages(p: pa.ListArray, w: pa.ListArray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows with any weight, of all rows at once: row and number of each, bounds in entries, columns, and unit-length values."""
     half = WINDOW // 2
-    win = positions // half
-    both = np.concatenate((win - 1, win))
-    col = np.concatenate((words, words))
-    ok = both >= 0
-    both, col = both[ok], col[ok]
-    o = np.argsort(both, kind="stable")
-    both, col = both[o], col[o]
-    if not len(both):
+    n = np.diff(p.offsets.to_numpy()).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    lo, hi = int(p.offsets[0].as_py()) if len(n) else 0, int(p.offsets[-1].as_py()) if len(n) else 0
+    win = p.values.to_numpy()[lo:hi].astype(np.int64) // half
+    col = w.values.to_numpy()[lo:hi].astype(np.int64)
+    back = np.flatnonzero(win > 0)  # a word stands in the window that begins in its half, and in the one before
+    doc, col, win = np.concatenate((doc, doc[back])), np.concatenate((col, col[back])), np.concatenate((win, win[back] - 1))
+    order = np.lexsort((col, win, doc))
+    doc, col, win = doc[order], col[order], win[order]
+    if not len(doc):
         z = np.zeros(0, np.int64)
-        return z, np.zeros(1, np.int64), z, np.zeros(0)
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    bound = np.append(first, len(both))
-    # equal words of a window add up before the length is taken
-    key = np.repeat(np.arange(len(first)), np.diff(bound)) * np.int64(len(weight)) + col
-    u, n = np.unique(key, return_counts=True)
-    row, col = u // len(weight), u % len(weight)
-    v = weight[col] * n
-    bound = np.searchsorted(row, np.arange(len(first) + 1))
-    size = np.sqrt(np.add.reduceat(v * v, bound[:-1]))
-    return both[first], bound, col, v / np.maximum(np.repeat(size, np.diff(bound)), 1e-30)
-
-
-def _rows(b: pa.RecordBatch, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Passages of a batch of postings, some thousand at a time: document row, window, bounds, columns, values."""
-    docs, wins, sizes, cols, vals, held = [], [], [], [], [], 0
-    p, w = b.column(2), b.column(3)
-    po, wo = p.offsets.to_numpy(), w.offsets.to_numpy()
-    pv, wv = p.values.to_numpy(), w.values.to_numpy()
-    for r in range(b.num_rows):
-        win, bound, col, v = passages(pv[po[r] : po[r + 1]].astype(np.int64), wv[wo[r] : wo[r + 1]].astype(np.int64), weight)
-        docs.append(np.full(len(win), r))
-        wins.append(win)
-        sizes.append(np.diff(bound))
-        cols.append(col)
-        vals.append(v)
-        held += len(col)
-        if held > 20000 or r == b.num_rows - 1:
-            yield np.concatenate(docs), np.concatenate(wins), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(cols), np.concatenate(vals)
-            docs, wins, sizes, cols, vals, held = [], [], [], [], [], 0
+        return z, z, np.zeros(1, np.int64), z, np.zeros(0)
+    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (win[1:] != win[:-1])))
+    word = np.flatnonzero(fresh | np.concatenate(([True], col[1:] != col[:-1])))
+    count = np.diff(np.append(word, len(doc)))  # equal words of a window add up before its length is taken
+    v = weight[col[word]] * count
+    first = np.flatnonzero(fresh[word])
+    bound = np.append(first, len(word))
+    size = np.sqrt(np.add.reduceat(v * v, first))
+    return doc[word][first], win[word][first], bound, col[word], v / np.maximum(np.repeat(size, np.diff(bound)), 1e-30)
+
+
+def _rows(b: pa.RecordBatch, weight: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Passages of a batch of postings, some documents at a time."""
+    for at in range(0, b.num_rows, 2000):
+        part = b.slice(at, 2000)
+        doc, *rest = passages(part.column(2), part.column(3), weight)
+        yield doc + at, *rest
 
 
 def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
@@ -174,14 +163,25 @@ def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.
         env_threads()
         weight, q = sent.value
         out = np.zeros(q.shape, np.float32)
-        rows = 0
+        rows, alone = 0, np.zeros(len(weight), np.int64)
         for b in batches:
             for doc, _, bound, col, v in _rows(b, weight):
-                if len(doc):
-                    rows += len(doc)
-                    v = v.astype(np.float32)[:, None]
-                    z = np.add.reduceat(q[col] * v, bound[:-1], axis=0)
-                    np.add.at(out, col, v * np.repeat(z, np.diff(bound), axis=0))
+                if not len(doc):
+                    continue
+                rows += len(doc)
+                n = np.diff(bound)
+                alone += np.bincount(col[bound[:-1][n == 1]], minlength=len(alone))  # one word: the product is its own row
+                more = np.repeat(n > 1, n)
+                n, col, v = n[n > 1], col[more], v[more].astype(np.float32)[:, None]
+                if not len(n):
+                    continue
+                z = np.add.reduceat(q[col] * v, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
+                o = np.argsort(col, kind="stable")
+                c = col[o]
+                first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                row = np.repeat(np.arange(len(n)), n)[o]
+                out[c[first]] += np.add.reduceat(v[o] * z[row], first, axis=0)
+        out += alone[:, None] * q
         has = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1), pa.int32()), pa.array([*(out[c].tobytes() for c in has), np.float64(rows).tobytes()], pa.binary())], ["w", "v"])
 
@@ -339,9 +339,8 @@ def _search(postings: DataFrame, weight: np.ndarray, names: np.ndarray, v: np.nd
             for doc, win, bound, col, val in _rows(b, weight):
                 if not len(doc):
                     continue
-                x = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0)
-                x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-30)
-                cos = x @ z.T
+                # unit length is that of the passage's words, so what falls outside the latent space counts against it
+                cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T
                 r, n = np.nonzero(cos >= COSINE)
                 at = pa.array(doc[r])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(names[n].astype(np.int32)), pa.array(win[r].astype(np.int32)), pa.array(cos[r, n].astype(np.float64))], ["id", "k", "n", "win", "cosine"])
