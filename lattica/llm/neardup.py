@@ -157,21 +157,25 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame, k: int, percent:
     need = needed(percent)
     prefix = SIZE - need + 1
     posted = reps.select("id", F.posexplode("sig").alias("_c", "_v")).select("id", (F.shiftleft(F.col("_c").cast("long"), 32) + F.col("_v").cast("long") + F.lit(1 << 31)).alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # what is joined to lists is kept as a table first, so that the join can split a common value
+    shared = scratch.keep(posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared")
     own = posted.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"), F.sum("f").alias("central"))
     # values that no other document has come first in a prefix
     rare = own.withColumn("left", F.lit(prefix - SIZE) + F.size("own")).where("left > 0")
     lists = rare.select("id", "central", F.explode(F.slice("own", F.lit(1), F.col("left"))).alias("p")).select("id", "central", F.col("p.token").alias("token"))
     lists = scratch.keep(lists, "lists")
     hubs = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (-F.col("h.id")).alias("hub"))
+    hubs = scratch.keep(hubs, "hubs")
     family = scratch.keep(lists.join(hubs, "token").select("hub", "id").distinct(), "family")
-    scratch.drop("lists")
+    for step in ("lists", "hubs", "shared"):
+        scratch.drop(step)
 
     sized = reps.select("id", "n", "sig")
     used = family.select("id").distinct()
     rows = scratch.keep(sized.join(used, "id").join(texts, "id").dropDuplicates(["id"]), "rows")  # those in a family only
     member = family.join(rows.select("id", "n"), "id")
     total = member.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    total = scratch.keep(total, "total")
     member = scratch.keep(member.join(total, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"), "blocks"), "member")
     with_hub = member.where("id <> hub").select("hub", "i", "id").union(member.where("id = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "id"))
     schema_cols = ["hub", "i", "j", "side", "id", "label", "n", "sig", "text"]
