@@ -220,10 +220,10 @@ def _(c: Catalog) -> DataFrame:
     return _rounded(relations.aggregate_by_parent(c, c.rows(t).select("c_custkey"), t.relation("orders"), {"sum": ["oTotalprice"]}, {"oTotalprice": {"gt": 400000}}))
 
 
-@_query("many_to_many_count", "SELECT p_partkey, count(s_suppkey) AS count, round(avg(s_acctbal), 2) AS avg_s_acctbal FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY p_partkey")
+@_query("many_to_many_count", "SELECT p_partkey, count(s_suppkey) AS count, max(s_acctbal) AS max_s_acctbal FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY p_partkey")
 def _(c: Catalog) -> DataFrame:
     t = c.table("part")
-    return _rounded(relations.aggregate_by_parent(c, c.rows(t).select("p_partkey"), t.relation("suppliers"), {"avg": ["sAcctbal"]}))
+    return _rounded(relations.aggregate_by_parent(c, c.rows(t).select("p_partkey"), t.relation("suppliers"), {"max": ["sAcctbal"]}))
 
 
 @_query("edge_list_count", "SELECT p_partkey, coalesce(n, 0) AS count, q AS sum_quantity FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, round(sum(q), 2) AS q FROM (SELECT l_partkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY l_partkey) ON l_partkey = p_partkey")
