@@ -34,9 +34,9 @@ from .textvec import _PLAIN, U, _powers, buffers, mix, slices
 
 WIDTH, GRAM = 200, 64
 #: Most different runs of one anchor in a shard before it is split by ranges of RANGE windows, and of 1 after that.
-HOT, RANGES = 4096, (16, 1)
+HOT, RANGES = 1024, (16, 1)
 #: Bytes of text of one suffix array, unless one anchor has more; bytes of one array before it goes to disk.
-SHARD, MEMORY = 12 << 20, 64 << 20
+SHARD, MEMORY = 4 << 20, 64 << 20
 SEGMENT = 4 << 20
 _RUN = "id long, k long, m long, ph long, p int, n int"
 
@@ -112,33 +112,39 @@ def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
-def repeats(pieces: list[bytes], weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of different byte strings, each standing for `weight` places: the spans that repeated strings of `width` bytes cover."""
+def repeats(pieces: list[bytes], weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different byte strings, each standing for `weight` places: the spans that repeated strings of `width` bytes cover, as string, start and end."""
     size = np.array([len(x) for x in pieces], np.int64)
     begin = np.concatenate(([0], np.cumsum(size + 1)))
     with Pool(memory) as pool:
         t = pool.empty(int(begin[-1]) + 1, np.uint16)
-        for a, x in zip(begin[:-1], pieces, strict=True):
-            t[a : a + len(x)] = np.frombuffer(x, np.uint8)
-            t[a : a + len(x)] += 2  # 0 ends the text, 1 each string
-            t[a + len(x)] = 1
+        t[:-1] = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
+        t[:-1] += 2  # 0 ends the text, 1 each string
+        t[begin[1:] - 1] = 1
         sa, lcp = suffix_array(t, 258, width, pool)
         again = np.zeros(len(t), bool)
         group = np.flatnonzero(np.concatenate((np.asarray(lcp) < width, [True])))
+        last = np.repeat(begin[1:] - 1 - width, np.diff(begin)) if len(t) < 1 << 24 else None  # the last start that fits, by position
         for a in range(0, len(group) - 1, 1 << 20):  # groups of suffixes that share `width` symbols
             g = group[a : a + (1 << 20) + 1]
             pos = np.asarray(sa[g[0] : g[-1]]).astype(np.int64)
-            of = np.searchsorted(begin, pos, side="right") - 1
-            of = np.minimum(of, len(pieces) - 1)
-            whole = pos + width <= begin[of] + size[of]
-            w = np.where(whole, weight[of], 0)
+            of = np.minimum(np.searchsorted(begin, pos, side="right") - 1, len(pieces) - 1) if last is None else None
+            whole = pos <= (begin[of] + size[of] - width if last is None else last[np.minimum(pos, len(last) - 1)])
+            whole &= pos < begin[-1]
+            fit = np.flatnonzero(whole)
+            of = np.searchsorted(begin, pos[fit], side="right") - 1
+            w = np.zeros(len(pos), np.int64)
+            w[fit] = weight[of]
             many = np.repeat(np.add.reduceat(w, g[:-1] - g[0]) >= 2, np.diff(g))
             again[pos[many & whole]] = True
-        out = []
-        for a, n in zip(begin[:-1], size, strict=True):
-            s = np.flatnonzero(again[a : a + n])
-            out.append(_merge(s, s + width))
-        return out
+    s = np.flatnonzero(again)
+    of = np.searchsorted(begin, s, side="right") - 1
+    s -= begin[of]
+    if not len(s):
+        return of, s, s
+    new = np.concatenate(([True], (s[1:] - s[:-1] > width) | (of[1:] != of[:-1])))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
+    return of[new], s[new], s[last] + width
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +154,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, last = 0, None
 
     def done() -> pa.RecordBatch:
-        spans = repeats([x[4] for x in held], np.array([x[3] for x in held], np.int64))
-        rows = [(x, s, e) for x, (s, e) in zip(held, spans, strict=True) if len(s)]
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x, _, _ in rows], pa.int64()), pa.array([x[1] for x, _, _ in rows], pa.int64()), pa.array([x[2] for x, _, _ in rows], pa.int32()), pa.array([[{"s": int(a), "e": int(b)} for a, b in zip(s, e, strict=True)] for _, s, e in rows], kind)], ["m", "ph", "n", "spans"]
-        )
+        of, s, e = repeats([x[4] for x in held], np.array([x[3] for x in held], np.int64))
+        runs = np.unique(of)
+        ends = pa.array(np.append(np.searchsorted(of, runs), len(of)).astype(np.int32))
+        spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
+        keys = [pa.array(np.array([held[r][c] for r in runs], t)) for c, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
+        return pa.RecordBatch.from_arrays([*keys, spans], ["m", "ph", "n", "spans"])
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -233,9 +239,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "passages")
     shared_dir(docs.sparkSession)
     keyed = _keys(docs, id_col, text_col)
-    runs = keyed.mapInArrow(_find_runs, _RUN)
-    twice = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
+    runs = scratch.keep(keyed.mapInArrow(_find_runs, _RUN), "runs")
+    # kept as a table, so that the join that follows can split a common anchor
+    twice = scratch.keep(runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "twice")
     places = scratch.keep(runs.join(twice, "m").select("id", "k", "m", "ph", "p", "n"), "places")
+    for step in ("runs", "twice"):
+        scratch.drop(step)
     once = places.groupBy("m", "ph", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "k", "p")).alias("r"))
     asked = once.groupBy("r.id", "r.k").agg(F.collect_list(F.struct("r.p", "n", "m", "ph", "c")).alias("runs"))
 

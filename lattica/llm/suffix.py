@@ -10,7 +10,9 @@ than the least prefix between the entries that induced them.
 
 The queue is emptied in bulk: all segments up to the first that still misses entries leave in one batch,
 which numpy turns into the entries it induces. Common prefixes are capped, as only whether they reach the
-cap is wanted; so each takes a byte or two. Arrays beyond `memory` bytes are files mapped into memory.
+cap is wanted; so each takes a byte or two, and suffixes that agree that far may stand in any order. Arrays
+beyond `memory` bytes are files mapped into memory. Recursion ends with names that are all different, or few
+enough (BASE) to be ordered in memory by trebling the length that ranks stand for.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import tempfile
 
 import numpy as np
 
-BATCH = 1 << 20
+BATCH, BASE = 1 << 20, (1 << 21) - 2
 
 
 class Pool:
@@ -224,7 +226,51 @@ def _compare(t: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, cap
     return out
 
 
-def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool) -> tuple[np.ndarray, np.ndarray]:
+def _treble(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of names by their first cap / 2 names or more, and how many each shares with the one before, at most.
+
+    A rank stands for h names; three of them make the key for 3 h. Ranks stay below 2^21, as names number at most BASE.
+    """
+    n = len(names)
+    ranks, steps = [names.astype(np.int64)], [1]
+    want = max(1, (cap + 1) // 2)
+    order, last = None, None
+    while steps[-1] < want:
+        r, h = ranks[-1], steps[-1]
+        key = r << 42
+        if h < n:
+            key[: n - h] |= (r[h:] + 1) << 21
+        if 2 * h < n:
+            key[: n - 2 * h] |= r[2 * h :] + 1
+        order = np.argsort(key)
+        k = key[order]
+        new = np.zeros(n, np.int64)
+        np.cumsum(k[1:] != k[:-1], out=new[1:])
+        last = int(new[-1])
+        r = np.empty(n, np.int64)
+        r[order] = new
+        ranks.append(r)
+        steps.append(3 * h)
+        if last == n - 1:
+            break
+    if order is None:
+        order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    shared = np.zeros(n, np.int64)
+    for r, step in zip(ranks[::-1], steps[::-1], strict=True):
+        wide = np.append(r, -1)
+        for _ in range(2 if step < steps[-1] else 1):
+            same = (wide[a] == wide[b]) & (b < n) & (a < n)
+            k = np.flatnonzero(same)
+            if not len(k):
+                break
+            shared[1 + k] += step
+            a[k] = np.minimum(a[k] + step, n)
+            b[k] = np.minimum(b[k] + step, n)
+    return order, shared
+
+
+def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of t (symbols below sigma; the last is 0 and occurs once) and common prefixes with the suffix before, capped."""
     n = len(t)
     small = np.uint8 if cap < 255 else np.uint16
@@ -232,15 +278,20 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool) -> tuple[np.nd
         return np.zeros(1, np.int32), np.zeros(1, small)
     rise = np.empty(n, bool)  # S type: by the next symbol that differs
     differs = t[:-1] != t[1:]
-    at = np.where(differs, np.arange(n - 1, dtype=np.int64), n)
+    wide = np.int32 if n < 1 << 31 else np.int64
+    at = np.arange(n - 1, dtype=wide)
+    at[~differs] = n
     at = np.minimum.accumulate(at[::-1])[::-1]
-    rise[:-1] = t[at] < t[np.minimum(at + 1, n - 1)]
+    rise[:-1] = (t[:-1] < t[1:])[at]
     rise[-1] = True
-    run = np.minimum(np.append(at - np.arange(n - 1) + 1, 1), cap).astype(small)
+    run = np.ones(n, small)
+    at -= np.arange(n - 1, dtype=wide)
+    longer = np.flatnonzero(at)
+    run[longer] = np.minimum(at[longer] + 1, cap)
     lms = np.flatnonzero(rise[1:] & ~rise[:-1]) + 1
     del at, differs
     fall = ~rise
-    mirrored = (sigma - 1 - t.astype(np.int64)).astype(t.dtype)
+    mirrored = t.dtype.type(sigma - 1) - t
 
     # order of LMS substrings
     seeds = lms[np.argsort(t[lms], kind="stable")]
@@ -273,7 +324,7 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool) -> tuple[np.nd
     if distinct < len(lms):
         reduced = np.empty(len(lms), np.int32 if len(lms) < 1 << 31 else np.int64)
         reduced[number[order]] = names
-        sub, sub_lcp = suffix_array(reduced, distinct, cap, pool)
+        sub, sub_lcp = _treble(reduced, cap) if len(lms) <= base else suffix_array(reduced, distinct, cap, pool, base)
         sub = np.asarray(sub).astype(np.int64)
         seeds = lms[sub]
         known = np.asarray(sub_lcp).astype(np.int64)
@@ -291,8 +342,8 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool) -> tuple[np.nd
     up, up_lcp = induce(mirrored, rise, down[::-1], back, run, sigma, cap, pool, last=n - 1)
     falls, rises = np.bincount(t[fall], minlength=sigma), np.bincount(t[rise], minlength=sigma)
     sa, lcp = pool.empty(n, down.dtype), pool.empty(n, small)
-    place_down = np.arange(len(down)) + np.repeat(_offsets(rises)[:-1], falls)
-    place_up = np.arange(len(up)) + np.repeat(_offsets(falls)[1:], rises)
+    place_down = np.arange(len(down), dtype=wide) + np.repeat(_offsets(rises)[:-1].astype(wide), falls)
+    place_up = np.arange(len(up), dtype=wide) + np.repeat(_offsets(falls)[1:].astype(wide), rises)
     sa[place_down], lcp[place_down] = down, down_lcp
     sa[place_up] = up[::-1]
     l = np.zeros(len(up), small)
