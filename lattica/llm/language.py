@@ -60,7 +60,7 @@ class Model:
     def words(self, data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods of the words of rows i..j by language, each word's largest set to 0, and the words of each row."""
         g, start, of = trigrams(data, off, i, j)
-        if not len(start):
+        if not len(start) or not self.languages:
             return np.zeros((0, len(self.languages)), np.float32), of
         l = np.stack([np.add.reduceat(self.logp[:, k][g], start) for k in range(len(self.languages))], axis=1)
         return l - l.max(1, keepdims=True), of
@@ -70,7 +70,7 @@ class Model:
         n = np.diff(of)
         has = np.flatnonzero(n)
         shares = np.zeros((len(n), len(self.languages)))
-        if not len(has):
+        if not len(has) or not self.languages:
             return shares, shares
         p = np.exp(np.maximum(like, -30)).astype(np.float32)
         start, size = of[:-1][has], n[has]

@@ -1,7 +1,8 @@
 """WARC archives as a Spark data source ("warc"), read and written in Python.
 
 Reading plans a partition for each range of a file. A record belongs to the range it begins in, and a
-reader finds the first one by its magic bytes, so large archives split, compressed by record or not.
+reader finds the first one by its magic bytes and by what its headers say, so large archives split, compressed
+by record or not (an uncompressed archive that holds another archive as a payload needs split above its size).
 Predicates on header columns are pushed down (with spark.sql.python.filterPushdown.enabled, which
 read_warc() sets; a record type can also be asked for by option). Headers are parsed first; a record that
 fails a predicate, or whose payload is not asked for, is skipped: uncompressed ones by their length,
@@ -171,6 +172,23 @@ def _skip_length(buf: bytes) -> int:
     return 0
 
 
+def _plausible(w: _Window, at: int) -> bool:
+    """Whether an uncompressed record begins `at` bytes into the window: its headers name a type and a length, and a record or the end of the file follows."""
+    stop = -1
+    while (stop := w.buf.find(b"\r\n\r\n", at)) < 0 and len(w.buf) - at < CHUNK:
+        if not w.need(len(w.buf) + 1):
+            break
+    head = w.buf[at:stop] if stop >= 0 else b""
+    h = _headers(head)
+    if b"warc-type" not in h or not h.get(b"content-length", b"").isdigit():
+        return False
+    after = w.at + stop + 4 + int(h[b"content-length"])
+    w.f.seek(after)
+    follows = w.f.read(11)
+    w.f.seek(w.at + len(w.buf))
+    return after > w.size or follows[:4] == b"\r\n\r\n" and follows[4:] in (b"", b"WARC/1.")
+
+
 def _start(w: _Window, end: int, gz: bool) -> bool:
     """Move to the first record at or after the window's position that begins before `end`."""
     magic = b"\x1f\x8b\x08" if gz else b"WARC/1."
@@ -195,7 +213,9 @@ def _start(w: _Window, end: int, gz: bool) -> bool:
             w.f.seek(w.at + len(w.buf))
         elif not gz:
             begins = begins or w.buf[at - 4 : at] == b"\r\n\r\n"
-        else:
+        if begins and not gz and w.at + at:
+            begins = _plausible(w, at)
+        if gz:
             try:
                 w.need(at + 512)
                 begins = zlib.decompressobj(31).decompress(w.buf[at : at + 4096], 7) == b"WARC/1."
