@@ -66,7 +66,7 @@ class Selection:
 
     def data(self) -> tuple[Selection, ...]:
         """What is selected of the items themselves: a connection's wrappers are seen through, and what costs nothing is left out."""
-        if not {s.name for s in self.selections} & {"edges", "nodes", "pageInfo", "totalCount"}:
+        if not {s.name for s in self.selections} & {"edges", "nodes", "pageInfo", "totalCount", "aggregate"}:
             return self.selections
         out: list[Selection] = []
         for s in self.selections:

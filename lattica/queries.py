@@ -143,6 +143,46 @@ _set("set_has_none", "hasNoneOf", ["en", "src1"], f"NOT {_has('en')} AND NOT {_h
 _set("set_eq", "eq", ["src2", "fr"], f"{_SET} = 'fr,src2'")
 _set("set_ne", "ne", ["src2", "fr"], f"{_SET} <> 'fr,src2'")
 
+# --- bytes, UUIDs, enums and booleans, on columns made of names
+
+
+def _typed(name: str, table: str, make: Callable, column: object, op: str, v: object, columns: str, sql: str) -> None:
+    from .plans.filters import compare
+
+    @_query(name, f"SELECT {columns} FROM {table} WHERE {sql}")
+    def run(c: Catalog) -> DataFrame:
+        rows = c.rows(c.table(table)).withColumn("_v", make())
+        return rows.where(compare(column, F.col("_v"), op, v)).select(*columns.split(", "))
+
+
+def _add_typed() -> None:
+    import base64
+    import hashlib
+
+    from .functions.kinds import Kind
+    from .sources.catalog import Column
+
+    h = [hashlib.md5(f"Customer#{i:09d}".encode()).hexdigest() for i in range(3)]
+    raw, text = lambda: F.unhex(F.md5("c_name")), lambda: scalars.uuid_text(F.unhex(F.md5("c_name")))
+    b64 = [base64.b64encode(bytes.fromhex(x)).decode() for x in h]
+    one, some = f"md5(c_name) = '{h[1]}'", f"md5(c_name) IN ('{h[0]}', '{h[2]}')"
+    uuid_bin, uuid_text_ = Column("u", Kind.UUID, binary=True), Column("u", Kind.UUID)
+    for name, make, column, op, v, sql in (
+        ("filter_bytes_eq", raw, Column("b", Kind.BYTES), "eq", b64[1], one),
+        ("filter_bytes_in", raw, Column("b", Kind.BYTES), "in", [b64[0], b64[2]], some),
+        ("filter_bytes_not_in", raw, Column("b", Kind.BYTES), "notIn", [b64[0], b64[2]], f"NOT {some}"),
+        ("filter_uuid_binary_eq", raw, uuid_bin, "eq", h[1].upper(), one),
+        ("filter_uuid_binary_in", raw, uuid_bin, "in", [h[0], h[2]], some),
+        ("filter_uuid_text_ne", text, uuid_text_, "ne", h[1], f"NOT {one}"),
+    ):
+        _typed(name, "customer", make, column, op, v, "c_custkey, c_name", sql)
+    _typed("filter_enum_in", "orders", lambda: F.col("o_orderstatus"), Column("e", Kind.ENUM, values=("O", "F", "P")), "in", ["O", "P"], "o_orderkey, o_orderstatus", "o_orderstatus IN ('O', 'P')")
+    _typed("filter_boolean_eq", "orders", lambda: F.col("o_orderstatus") == "F", Column("b", Kind.BOOLEAN), "eq", True, "o_orderkey", "o_orderstatus = 'F'")
+    _typed("filter_boolean_ne", "orders", lambda: F.col("o_orderstatus") == "F", Column("b", Kind.BOOLEAN), "ne", True, "o_orderkey", "o_orderstatus <> 'F'")
+
+
+_add_typed()
+
 # --- pages
 
 _COLS = "o_orderkey, o_totalprice"

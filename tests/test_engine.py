@@ -202,3 +202,29 @@ def test_declared_moments():
     for bad in ({}, {"time_": "2024-01-01T00:00:00Z", "offset_seconds": 0}, {"offset_seconds": 1}, {"time_": "2025-01-01T00:00:00Z"}, {"time_": "x"}):
         with pytest.raises(ValueProblem):
             as_of(**bad, now=now)
+
+
+def test_databases_by_graphql(spark):
+    """Two databases: roots are grouped by database, types carry its name, and a foreign key crosses over."""
+    from lattica.sources.catalog import ForeignKey
+
+    orders = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    ships = spark.createDataFrame([(7, 1), (8, 1), (9, 2)], "id int, order_id int")
+    tables = [infer("orders", orders, ("id",), database="shop"), infer("shipments", ships, ("id",), database="logistics", foreign_keys=(ForeignKey(("order_id",), ("shop", "orders"), ("id",)),))]
+    c = build(tables, {tables[0].key: lambda: orders, tables[1].key: lambda: ships})
+    got = Engine(c).execute("{ shop { orders { nodes { name shipments { totalCount nodes { databaseId order { name } } } } } } logistics { shipment_by_databaseId(databaseId: 9) { __typename order { name } } } }")
+    assert "errors" not in got
+    assert [(o["name"], o["shipments"]["totalCount"], [s["order"]["name"] for s in o["shipments"]["nodes"]]) for o in got["data"]["shop"]["orders"]["nodes"]] == [("a", 2, ["a", "a"]), ("b", 1, ["b"])]
+    assert got["data"]["logistics"]["shipment_by_databaseId"] == {"__typename": "LogisticShipment", "order": {"name": "b"}}
+
+
+def test_spark_catalog(spark):
+    from lattica.sources.catalog import from_spark_catalog
+
+    spark.sql("create database if not exists lt_db")
+    spark.range(3).selectExpr("id", "concat('n', id) name").write.mode("overwrite").saveAsTable("lt_db.things")
+    try:
+        c = from_spark_catalog(spark, "lt_db", {"things": {"primary_key": ("id",)}})
+        assert connections.connect(c, c.table("things"), first=2).has_more
+    finally:
+        spark.sql("drop database lt_db cascade")
