@@ -28,7 +28,7 @@ from .common import crc32_of_id, env_threads
 from .textvec import NOT_ALNUM, U, Words, buffers, slices
 
 #: Bound of the labelled sample that the classifier is fitted on.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 WIDTHS, FILTERS, DIM, BITS = (1, 2, 3), 8, 8, 20
 #: Lengths in bytes of the prefixes, and the (column, shift) of each table's bucket in a word's hashes.
 PREFIXES, PLACES = (4, 6), ((0, 0), (0, 32), (1, 0), (1, 32))
@@ -101,10 +101,12 @@ def fit(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: in
     if not len(y) or y.min() == y.max():
         return Model([], [], [], [], np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
     mask = U((1 << BITS) - 1)
-    every = np.concatenate(texts)
     table, index = [], []
     for c, s in PLACES:
-        used = np.unique((every[:, c] >> U(s)) & mask)
+        some = np.zeros(1 << BITS, bool)
+        for t in texts:
+            some[(t[:, c] >> U(s)) & mask] = True
+        used = np.flatnonzero(some)
         i = np.zeros(1 << BITS, np.int32)
         i[used] = np.arange(1, len(used) + 1)
         index.append(i)
@@ -220,9 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
             hs = [h[of[r] : of[r + 1]].tobytes() for _, h, of in word_ids(b.column(3)) for r in range(len(of) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), b.column(2), pa.array(hs, pa.binary())], ["i", "y", "l", "h"])
 
-    got = found.mapInArrow(words, "i long, y int, l string, h binary").collect()
-    got.sort(key=lambda r: (r["i"], r["h"]))
-    return fit([np.frombuffer(r["h"], np.uint64).reshape(-1, 2) for r in got], np.array([r["y"] for r in got], np.float64), [r["l"] for r in got])
+    got = found.mapInArrow(words, "i long, y int, l string, h binary").toArrow()  # `rows` rows at most
+    got = got.combine_chunks()
+    hs = got["h"].chunk(0) if got.num_rows else pa.array([], pa.binary())
+    data, off = buffers(hs)
+    order = sorted(range(got.num_rows), key=lambda r: (got["i"][r].as_py(), int(off[r + 1] - off[r])))
+    texts = [data[off[r] : off[r + 1]].view(np.uint64).reshape(-1, 2) for r in order]
+    y, lang = got["y"].to_numpy().astype(np.float64), got["l"].to_pylist()
+    return fit(texts, y[order] if len(order) else y, [lang[r] for r in order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
