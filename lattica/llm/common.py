@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -34,8 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python need not have it installed."""
+    """Send this package to the executors, whose Python need not have it installed, and set the session's batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -100,7 +102,24 @@ def crc32_of_id(col: str):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+#: Rows of a batch sent to Python: texts may be long, and both sides hold a batch.
+BATCH_ROWS = "2000"
+
+
 def env_threads() -> None:
-    """One BLAS thread a task: Spark already runs a task on each core."""
+    """At a Python task's start: one BLAS thread, as Spark already runs a task on each core, and freed memory given back.
+
+    Workers serve many tasks, so what one kept of its arrays would add to what the next needs: arrays of
+    1 MB and more get pages of their own, and what the last task left is returned.
+    """
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own ways
+        pass
