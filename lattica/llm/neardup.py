@@ -38,7 +38,7 @@ from .textvec import U, Words, buffers, distinct, mix, slices
 SHINGLE, THRESHOLD = 5, 80
 SIZE, MISS = 128, 1e-9
 #: Bounds of a block: documents, and shingles of all of them.
-BLOCK_ROWS, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 500, 2_000_000
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64) * U(2) + U(1)
