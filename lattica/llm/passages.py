@@ -36,8 +36,8 @@ WIDTH, GRAM = 200, 64
 #: Most different runs of one anchor in a shard before it is split by ranges of RANGE windows, and of 1 after that.
 HOT, RANGES = 1024, (16, 1)
 #: Bytes of text of one suffix array, unless one anchor has more; bytes of one array before it goes to disk.
-SHARD, MEMORY = 4 << 20, 64 << 20
-SEGMENT = 4 << 20
+SHARD, MEMORY = 2 << 20, 64 << 20
+SEGMENT = 1 << 20
 _RUN = "id long, k long, m long, ph long, p int, n int"
 
 
@@ -112,33 +112,39 @@ def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
-def repeats(pieces: list[bytes], weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of different byte strings, each standing for `weight` places: the spans that repeated strings of `width` bytes cover, as string, start and end."""
-    size = np.array([len(x) for x in pieces], np.int64)
+def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different byte strings laid end to end, each standing for `weight` places: the spans that repeated strings of `width` bytes cover, as string, start and end."""
     begin = np.concatenate(([0], np.cumsum(size + 1)))
     with Pool(memory) as pool:
         t = pool.empty(int(begin[-1]) + 1, np.uint16)
-        t[:-1] = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
-        t[:-1] += 2  # 0 ends the text, 1 each string
+        body = np.ones(len(t), bool)
+        body[begin[1:] - 1] = False
+        body[-1] = False
+        t[body] = data
+        t[body] += 2  # 0 ends the text, 1 each string
         t[begin[1:] - 1] = 1
         sa, lcp = suffix_array(t, 258, width, pool)
+        fits = np.zeros(len(t), bool)  # where a string of `width` bytes begins
+        long = np.flatnonzero(size >= width)
+        step = np.zeros(len(t) + 1, np.int32)
+        step[begin[long]] += 1
+        step[begin[long] + size[long] - width + 1] -= 1
+        np.cumsum(step[:-1], out=step[:-1])
+        fits[step[:-1] > 0] = True
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         again = np.zeros(len(t), bool)
         group = np.flatnonzero(np.concatenate((np.asarray(lcp) < width, [True])))
-        last = np.repeat(begin[1:] - 1 - width, np.diff(begin)) if len(t) < 1 << 24 else None  # the last start that fits, by position
         for a in range(0, len(group) - 1, 1 << 20):  # groups of suffixes that share `width` symbols
             g = group[a : a + (1 << 20) + 1]
-            pos = np.asarray(sa[g[0] : g[-1]]).astype(np.int64)
-            of = np.minimum(np.searchsorted(begin, pos, side="right") - 1, len(pieces) - 1) if last is None else None
-            whole = pos <= (begin[of] + size[of] - width if last is None else last[np.minimum(pos, len(last) - 1)])
-            whole &= pos < begin[-1]
-            fit = np.flatnonzero(whole)
-            of = np.searchsorted(begin, pos[fit], side="right") - 1
+            pos = np.asarray(sa[g[0] : g[-1]])
+            fit = np.flatnonzero(fits[pos])
             w = np.zeros(len(pos), np.int64)
-            w[fit] = weight[of]
-            many = np.repeat(np.add.reduceat(w, g[:-1] - g[0]) >= 2, np.diff(g))
-            again[pos[many & whole]] = True
+            w[fit] = weight[of[pos[fit]]]
+            many = np.add.reduceat(w, g[:-1] - g[0]) >= 2
+            # all of a group begin alike, so either all fit or none does
+            again[pos[np.repeat(many, np.diff(g))]] = True
     s = np.flatnonzero(again)
-    of = np.searchsorted(begin, s, side="right") - 1
+    of = of[s].astype(np.int64)
     s -= begin[of]
     if not len(s):
         return of, s, s
@@ -150,29 +156,41 @@ def repeats(pieces: list[bytes], weight: np.ndarray, width: int = WIDTH, memory:
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows m, ph, n, c, piece sorted by m, ph, n: spans for those runs that have repeated windows. Whole anchors make a shard."""
     env_threads()
-    held: list[tuple] = []
-    size, last = 0, None
-
-    def done() -> pa.RecordBatch:
-        of, s, e = repeats([x[4] for x in held], np.array([x[3] for x in held], np.int64))
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        m, ph, n, c = (rows[k].to_numpy() for k in ("m", "ph", "n", "c"))
+        new = np.concatenate(([True], (m[1:] != m[:-1]) | (ph[1:] != ph[:-1]) | (n[1:] != n[:-1])))
+        if not new.all():  # the same run again, from a repeated row
+            rows = rows.filter(pa.array(new))
+            m, ph, n, c = m[new], ph[new], n[new], c[new]
+        data, off = buffers(rows["piece"])
+        of, s, e = repeats(data, np.diff(off), c)
         runs = np.unique(of)
         ends = pa.array(np.append(np.searchsorted(of, runs), len(of)).astype(np.int32))
         spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
-        keys = [pa.array(np.array([held[r][c] for r in runs], t)) for c, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
-        return pa.RecordBatch.from_arrays([*keys, spans], ["m", "ph", "n", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(m[runs]), pa.array(ph[runs]), pa.array(n[runs]), spans], ["m", "ph", "n", "spans"])
 
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if last is not None and row[:3] == last[:3]:
-                continue  # the same run, from a repeated row
-            if size >= SHARD and row[0] != last[0]:
-                yield done()
+        at = 0
+        while at < b.num_rows:
+            m = b.column(0).to_numpy()
+            off = buffers(b.column(4))[1]
+            # as many rows as fill the shard, then to the end of their anchor
+            stop = min(b.num_rows, at + 1 + int(np.searchsorted(off[at + 1 :] - off[at], SHARD - size)))
+            if held and size >= SHARD and m[at] != held[-1].column(0)[-1].as_py():
+                yield done(pa.Table.from_batches(held))
                 held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-            last = row
+                continue
+            if size >= SHARD:
+                other = np.flatnonzero(m[at:] != m[at])
+                stop = at + int(other[0]) if len(other) else b.num_rows
+            held.append(b.slice(at, stop - at))
+            size += int(off[stop] - off[at])
+            at = stop
     if held:
-        yield done()
+        yield done(pa.Table.from_batches(held))
 
 
 def _refine(width: int):
@@ -249,6 +267,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     asked = once.groupBy("r.id", "r.k").agg(F.collect_list(F.struct("r.p", "n", "m", "ph", "c")).alias("runs"))
 
     def slice_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        env_threads()
         for b in batches:
             data, off = b.column(0), b.column(1)
             cols = ([], [], [], [], [])
@@ -280,6 +299,7 @@ def _deflated(df: DataFrame, col: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == col else f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        env_threads()
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -303,6 +323,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + ", _ps_bytes long, _ps_removed long, _ps_spans long, _ps_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        env_threads()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
