@@ -20,9 +20,20 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
+
+
+def _catalog(spark: SparkSession, folder: str) -> Catalog:
+    """A folder's catalog, read once an application: its schemas take a job a table."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = tpch.catalog(spark, folder)
+    return _CATALOGS[key]
+
+
 def _query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable[[Catalog], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, folder: f(tpch.catalog(spark, folder))
+        QUERIES[name] = lambda spark, folder: f(_catalog(spark, folder))
         if sql:
             SQL[name] = sql
         return f
