@@ -8,13 +8,17 @@
    words x rank numbers only, factors the sum. The benchmark's own rows take part with half of the total
    weight, so no item drops out of the latent space, whose rank is at least a block's number of items.
 4. Passages and items are compared by cosine there, in blocks of items; pairs at COSINE or above are candidates.
+   So is every passage about which enough of an item's rarest words stand, however often the item leaks: what
+   step 5 reports shares PARAPHRASE of the item's words, so only the other words of those can be missing. An
+   item keeps as many of its rarest words for this as leave LEAST or a SHARE of its words to be found.
 5. Candidates are checked on all words: the longest common subsequence of the item and the words about the
    passage covers VERBATIM of the item, or PARAPHRASE of it while ANSWER of the words of the item's answer (its
    last sentence) occur there too.
 
 Items are taken CHUNK at a time, so what the driver holds and sends is bounded for any benchmark.
 
-Edge cases: null or empty texts have no passage; items that are null or without words match nothing; rows that
+Edge cases: null or empty texts have no passage; a passage without weighted words has a cosine of 0; an item of
+a few words is found wherever PARAPHRASE of them stand in order about a passage, as step 5 says; items that are null or without words match nothing; rows that
 repeat an id and text are reported once; a null id is an id like any other; equal items are all reported; an
 empty table on either side gives an empty result. Only ids and texts are read; clean() passes other columns
 through.
@@ -35,6 +39,7 @@ from .textvec import NOT_ALNUM, U, Words, buffers, slices
 WINDOW, COMMON, RAREST = 64, 0.02, 4
 CHUNK, BLOCK, EXTRA = 8192, 256, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.7, 0.6, 0.8
+LEAST, SHARE = 4, 8
 _BITS = 20
 
 
@@ -65,28 +70,81 @@ class Vocabulary:
         return at[ok], k[ok]
 
 
-def _postings(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """id, k, and for the document's words of the vocabulary their positions and numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class Needed:
+    """For each item its rarest words, and how many of their places at least stand about any passage that step 5 can report."""
+
+    def __init__(self, every: Vocabulary, df: np.ndarray, words: list[np.ndarray]):
+        self.reach = np.array([-(-len(w) // (WINDOW // 2)) for w in words], np.int64)  # halves of a window by which the words about it exceed it
+        self.least = np.ones(len(words), np.int64)
+        items, own = [], []
+        for n, w in enumerate(words):
+            if not len(w):
+                continue
+            u, count = np.unique(np.searchsorted(every.words, w), return_counts=True)
+            o = np.argsort(df[u], kind="stable")
+            total = np.cumsum(count[o])
+            spare = len(w) - int(np.ceil(PARAPHRASE * len(w) - 1e-9))  # words of the item that may be missing
+            take = min(len(o), 1 + int(np.searchsorted(total, spare + max(LEAST, len(w) // SHARE))))
+            self.least[n] = total[take - 1] - spare
+            items.append(np.full(take, n))
+            own.append(u[o[:take]])
+        item, word = np.concatenate(items), np.concatenate(own)
+        used, word = np.unique(word, return_inverse=True)
+        o = np.argsort(word, kind="stable")
+        self.vocabulary = Vocabulary(every.words[used])
+        self.item, self.bound = item[o], np.searchsorted(word[o], np.arange(len(used) + 1))
+
+    def passages(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents with words h[of[r]:of[r + 1]]: document, item and number of each passage about which enough words stand, in order."""
+        at, k = self.vocabulary.find(h)
+        many = np.diff(self.bound)[k]
+        item = self.item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.bound[k], many)]
+        at = np.repeat(at, many)
+        doc = np.searchsorted(of, at, side="right") - 1
+        o = np.lexsort((at, item, doc))
+        at, item, doc = at[o], item[o], doc[o]
+        half = (at - of[doc]) // (WINDOW // 2)
+        last = np.arange(len(at)) + self.least[item] - 1  # the fewest places that are enough: from here to there
+        ok = last < len(at)
+        i, j = np.flatnonzero(ok), last[ok]
+        ok = (doc[i] == doc[j]) & (item[i] == item[j]) & (half[j] - half[i] <= 2 * self.reach[item[i]] + 1)
+        i, j = i[ok], j[ok]
+        lo = np.maximum(0, half[j] - 1 - self.reach[item[i]])
+        hi = np.minimum(half[i] + self.reach[item[i]], (of[doc[i] + 1] - of[doc[i]] - 1) // (WINDOW // 2))
+        # passages of one document and item are given once: ranges begin where the last ended, as both ends rise
+        same = np.concatenate(([False], (doc[i][1:] == doc[i][:-1]) & (item[i][1:] == item[i][:-1])))
+        lo[same] = np.maximum(lo[same], hi[np.flatnonzero(same) - 1] + 1)
+        n = np.maximum(0, hi - lo + 1)
+        return np.repeat(doc[i], n), np.repeat(item[i], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+
+
+def _postings(docs: DataFrame, vocabulary: Vocabulary, needed: Needed) -> DataFrame:
+    """id, k, for the document's words of the vocabulary their positions and numbers, and items and numbers of the passages about which enough words stand."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         env_threads()
-        v = sent.value
+        v, needed = sent.value
         for b in batches:
             data, off = buffers(b.column(2))
             for i, j in slices(off):
                 w = Words(data, off, i, j, space=NOT_ALNUM)
                 at, k = v.find(w.hash)
                 bound = np.searchsorted(at, w.of)
-                rows = np.flatnonzero(np.diff(bound))
+                doc, item, win = needed.passages(w.hash, w.of)
+                near = np.searchsorted(doc, np.arange(j - i + 1))
+                rows = np.flatnonzero(np.diff(bound) + np.diff(near))
                 if not len(rows):
                     continue
                 p = (at - np.repeat(w.of[:-1], np.diff(bound))).astype(np.int32)
-                ends = pa.array(np.append(bound[:-1][rows], len(at)).astype(np.int32))
                 r = pa.array(rows + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.ListArray.from_arrays(ends, pa.array(p)), pa.ListArray.from_arrays(ends, pa.array(k.astype(np.int32)))], ["id", "k", "p", "w"])
+                lists = []
+                for edge, values in ((bound, (p, k)), (near, (item, win))):
+                    ends = pa.array(np.append(edge[:-1][rows], len(values[0])).astype(np.int32))
+                    lists += [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in values]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *lists], ["id", "k", "p", "w", "item", "win"])
 
-    return docs.mapInArrow(run, "id long, k long, p array<int>, w array<int>")
+    return docs.mapInArrow(run, "id long, k long, p array<int>, w array<int>, item array<int>, win array<int>")
 
 
 def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -277,7 +335,8 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
         kept[own[np.argsort(df[own], kind="stable")][:RAREST]] = True
     idf = np.log((n_docs + 1) / (df[kept] + 1)) + 1e-3
     vocabulary = Vocabulary(every.words[kept])
-    postings = scratch.keep(_postings(keyed, vocabulary), f"postings-{c}").repartition(partitions(keyed.sparkSession))
+    every_posting = scratch.keep(_postings(keyed, vocabulary, Needed(every, df, words)), f"postings-{c}")
+    postings = every_posting.select("id", "k", "p", "w").repartition(partitions(keyed.sparkSession))
     blocks = []
     for a in range(0, len(live), BLOCK):
         names = live[a : a + BLOCK]
@@ -291,7 +350,7 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
         blocks.append((np.array(names), v.astype(np.float32), (z / np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-30)).astype(np.float32)))
     found = None
     for names, v, z in blocks:
-        part = _search(postings, idf, names, v, z)
+        part = _search(every_posting.repartition(partitions(keyed.sparkSession)), idf, names, v, z)
         found = part if found is None else found.union(part)
     near = found.groupBy("id", "k").agg(F.collect_list(F.struct("n", "win", "cosine")).alias("c"))  # windows of one document times items above the cut
     near = scratch.keep(near, f"candidates-{c}")
@@ -306,8 +365,10 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
             for ident, text, cands in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h = hashes(pa.array([text.as_py()], pa.string()))[0]
                 best: dict[int, tuple] = {}
-                for x in cands:
+                for x in sorted(cands, key=lambda x: -x["cosine"]):
                     n = x["n"]
+                    if n in best and best[n][0] == 1:  # nothing is better
+                        continue
                     item, answer = words[n], answers[n]
                     a = max(0, x["win"] * half - len(item))
                     region = h[a : x["win"] * half + WINDOW + len(item)]
@@ -329,21 +390,35 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
 
 
 def _search(postings: DataFrame, weight: np.ndarray, names: np.ndarray, v: np.ndarray, z: np.ndarray) -> DataFrame:
-    """Passages and items whose cosine in the latent space reaches COSINE."""
+    """Passages and items whose cosine in the latent space reaches COSINE, and those of the postings' last columns."""
     sent = postings.sparkSession.sparkContext.broadcast((weight, names, v, z))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         env_threads()
         weight, names, v, z = sent.value
         for b in batches:
-            for doc, win, bound, col, val in _rows(b, weight):
-                if not len(doc):
-                    continue
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                doc, win, bound, col, val = passages(part.column(2), part.column(3), weight)
                 # unit length is that of the passage's words, so what falls outside the latent space counts against it
-                cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T
+                cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T if len(doc) else np.zeros((0, len(names)), np.float32)
                 r, n = np.nonzero(cos >= COSINE)
-                at = pa.array(doc[r])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(names[n].astype(np.int32)), pa.array(win[r].astype(np.int32)), pa.array(cos[r, n].astype(np.float64))], ["id", "k", "n", "win", "cosine"])
+                found = [doc[r], names[n], win[r], cos[r, n]]
+                count = np.diff(part.column(4).offsets.to_numpy())
+                item, w = part.column(4).flatten().to_numpy(), part.column(5).flatten().to_numpy().astype(np.int64)
+                d = np.repeat(np.arange(part.num_rows), count)
+                n = np.minimum(np.searchsorted(names, item), len(names) - 1)
+                own = names[n] == item
+                d, w, n = d[own], w[own], n[own]
+                c = np.zeros(len(d), np.float32)
+                if len(doc):
+                    key = (doc << 32) + win  # in order, as passages are
+                    r = np.minimum(np.searchsorted(key, (d << 32) + w), len(key) - 1)
+                    c = np.where(key[r] == (d << 32) + w, cos[r, n], 0)
+                new = c < COSINE
+                doc, n, win, c = (np.concatenate((x, y[new])) for x, y in zip(found, (d, names[n], w, c), strict=True))
+                r = pa.array(doc + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array(n.astype(np.int32)), pa.array(win.astype(np.int32)), pa.array(c.astype(np.float64))], ["id", "k", "n", "win", "cosine"])
 
     return postings.mapInArrow(run, "id long, k long, n int, win int, cosine double")
 

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,41 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0 and decontaminate.clean(docs, bench.where("item_id > 80")).count() == len(rows)
 
 
+def test_contamination_of_frequent_items(spark):
+    """An item that a third of all documents hold, among rare words of other items."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 30, 10**6)) for i in range(40)]
+    others = " ".join(t for i, t in items if i).split()
+    rows = []
+    for i in range(150):
+        w = [rng.choice(others) if rng.random() < 0.7 else f"x{rng.randrange(9999)}" for _ in range(rng.randrange(64, 200))]
+        if i % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = items[0][1].split()
+        rows.append((i, " ".join(w)))
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.item_id == 0} == set(range(0, 150, 3))
+
+
+def test_contamination_is_that_of_all_passages(spark):
+    """Against the check of every item about every passage, on words so few that many pairs are near its bounds."""
+    rng = random.Random(13)
+    items = [(i, prose(rng, rng.choice([3, 8, 20, 70]), 60)) for i in range(12)]
+    rows = [(i, prose(rng, rng.randrange(1, 300), 60)) for i in range(40)]
+    want = set()
+    for i, t in rows:
+        h = decontaminate.hashes(pa.array([t]))[0]
+        for n, x in items:
+            w = decontaminate.hashes(pa.array([x]))[0]
+            for at in range(0, len(h), 32):
+                region = h[max(0, at - len(w)) : at + 64 + len(w)]
+                share = decontaminate.lcs(w, region) / len(w)
+                if share >= 0.7 or (share >= 0.6 and np.isin(w, region).mean() >= 0.8):  # without a full stop all is answer
+                    want.add((i, n))
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 0 < len(want) < len(rows) * len(items)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
