@@ -7,7 +7,8 @@
    orthonormal, columns and back (A^T A Q), rows of the product are summed by word, and the driver, which holds
    words x rank numbers only, factors the sum. The benchmark's own rows take part with half of the total
    weight, so no item drops out of the latent space, whose rank is at least a block's number of items.
-4. Passages and items are compared by cosine there, in blocks of items; pairs at COSINE or above are candidates.
+4. Items become passages too: one of all words up to WINDOW, windows like the documents' above. Those and the
+   documents' passages are compared by cosine there, in blocks; pairs at COSINE or above are candidates.
    So is every passage about which enough of an item's rarest words stand, however often the item leaks: what
    step 5 reports shares PARAPHRASE of the item's words, so only the other words of those can be missing. An
    item keeps as many of its rarest words for this as leave LEAST or a SHARE of its words to be found.
@@ -292,6 +293,12 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _windows(words: np.ndarray) -> list[np.ndarray]:
+    """All words up to WINDOW as one; else windows of WINDOW words, half overlapping, to the last word."""
+    half = WINDOW // 2
+    return [words[at : at + WINDOW] for at in range(0, max(1, len(words) - half), half)]
+
+
 def _answer(text: str) -> str:
     parts = [x for x in text.replace("\n", " ").split(". ") if x.strip()]
     return parts[-1] if parts else ""
@@ -330,19 +337,20 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
     if not n_docs:
         return None
     kept = df <= max(1.0, COMMON * n_docs)
-    for n in live:
-        own = np.unique(np.searchsorted(every.words, words[n]))
+    windows = [(n, w) for n in live for w in _windows(words[n])]
+    for _, w in windows:
+        own = np.unique(np.searchsorted(every.words, w))
         kept[own[np.argsort(df[own], kind="stable")][:RAREST]] = True
     idf = np.log((n_docs + 1) / (df[kept] + 1)) + 1e-3
     vocabulary = Vocabulary(every.words[kept])
     every_posting = scratch.keep(_postings(keyed, vocabulary, Needed(every, df, words)), f"postings-{c}")
     postings = every_posting.select("id", "k", "p", "w").repartition(partitions(keyed.sparkSession))
     blocks = []
-    for a in range(0, len(live), BLOCK):
-        names = live[a : a + BLOCK]
+    for a in range(0, len(windows), BLOCK):
+        names = [n for n, _ in windows[a : a + BLOCK]]
         rows = np.zeros((len(names), len(idf)))
-        for r, n in enumerate(names):
-            at, k = vocabulary.find(words[n])
+        for r, (_, w) in enumerate(windows[a : a + BLOCK]):
+            at, k = vocabulary.find(w)
             np.add.at(rows[r], k, idf[k])
         rows /= np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-30)
         v = latent(postings, idf, rows)
@@ -365,10 +373,12 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
             for ident, text, cands in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h = hashes(pa.array([text.as_py()], pa.string()))[0]
                 best: dict[int, tuple] = {}
+                seen = set()
                 for x in sorted(cands, key=lambda x: -x["cosine"]):
                     n = x["n"]
-                    if n in best and best[n][0] == 1:  # nothing is better
+                    if (n, x["win"]) in seen or n in best and best[n][0] == 1:  # nothing is better
                         continue
+                    seen.add((n, x["win"]))  # again from another block, with windows of the same item
                     item, answer = words[n], answers[n]
                     a = max(0, x["win"] * half - len(item))
                     region = h[a : x["win"] * half + WINDOW + len(item)]
@@ -402,21 +412,24 @@ def _search(postings: DataFrame, weight: np.ndarray, names: np.ndarray, v: np.nd
                 doc, win, bound, col, val = passages(part.column(2), part.column(3), weight)
                 # unit length is that of the passage's words, so what falls outside the latent space counts against it
                 cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T if len(doc) else np.zeros((0, len(names)), np.float32)
+                # of the windows of one item, which stand together, the best
+                first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+                cos, own = np.maximum.reduceat(cos, first, axis=1), names[first]
                 r, n = np.nonzero(cos >= COSINE)
-                found = [doc[r], names[n], win[r], cos[r, n]]
+                found = [doc[r], own[n], win[r], cos[r, n]]
                 count = np.diff(part.column(4).offsets.to_numpy())
                 item, w = part.column(4).flatten().to_numpy(), part.column(5).flatten().to_numpy().astype(np.int64)
                 d = np.repeat(np.arange(part.num_rows), count)
-                n = np.minimum(np.searchsorted(names, item), len(names) - 1)
-                own = names[n] == item
-                d, w, n = d[own], w[own], n[own]
+                n = np.minimum(np.searchsorted(own, item), len(own) - 1)
+                here = own[n] == item
+                d, w, n = d[here], w[here], n[here]
                 c = np.zeros(len(d), np.float32)
                 if len(doc):
                     key = (doc << 32) + win  # in order, as passages are
                     r = np.minimum(np.searchsorted(key, (d << 32) + w), len(key) - 1)
                     c = np.where(key[r] == (d << 32) + w, cos[r, n], 0)
                 new = c < COSINE
-                doc, n, win, c = (np.concatenate((x, y[new])) for x, y in zip(found, (d, names[n], w, c), strict=True))
+                doc, n, win, c = (np.concatenate((x, y[new])) for x, y in zip(found, (d, own[n], w, c), strict=True))
                 r = pa.array(doc + at)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array(n.astype(np.int32)), pa.array(win.astype(np.int32)), pa.array(c.astype(np.float64))], ["id", "k", "n", "win", "cosine"])
 

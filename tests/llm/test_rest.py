@@ -271,6 +271,16 @@ def test_contamination_is_that_of_all_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and 0 < len(want) < len(rows) * len(items)
 
 
+def test_contamination_of_long_items(spark):
+    """Copies of items of many windows have a window's cosine, in one block or several."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"w{i}x{x}" for x in range(n))) for i, n in enumerate((40, 64, 65, 500, 9000))]
+    rows = [(i, prose(rng, 70) + " " + t + " " + prose(rng, 70)) for i, t in items] + [(9, prose(rng, 900))]
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
+    assert all(r.cosine > 0.8 and r.lcs == 1 for r in got)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
