@@ -1,7 +1,7 @@
 """A training corpus from `documents`, in five stages, each written and read again before the next.
 
 1. toxicity: rejects documents at or above their language's threshold.
-2. near_duplicates: keeps the smallest id of each group (five-word shingles, similarity 0.8).
+2. near_duplicates: keeps one row of each group, of the smallest id (five-word shingles, similarity 0.8).
 3. repeated_passages: removes bytes that repeats of 200 bytes cover.
 4. decontamination: rejects documents in which a benchmark item is found.
 5. mixing: emits documents as often as the targets of their sources ask, with `copy` from 1.
@@ -25,11 +25,26 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
+    """One row of each group of near duplicates: that of the smallest id, with null after all others.
+
+    A document is what has one id and text: rows that repeat both are one, of which the smallest row stays;
+    rows with one id and different texts, or without an id, are documents of their own.
+    """
     ship(spark)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(spark, "rows")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    times = keyed.groupBy("_row").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("times"))
+    found = neardup.near_duplicates(keyed.select("_row", "text"), "_row").select("_row", "component_id").distinct()
+    # kept as a table, so that the join that follows can split a large group
+    groups = scratch.keep(found.join(times, "_row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = groups.join(first, "component_id").where("_row <> _first").select("_row")
+    left = keyed.join(gone, "_row", "left_anti")
+    many = groups.where("times > 1").select("_row")
+    if many.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(many, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return left.join(many, "_row", "left_anti").select(*docs.columns).union(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

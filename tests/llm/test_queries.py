@@ -1,6 +1,7 @@
 """Queries that SQL can express against it, on the smallest data; the rest against plain versions or held-out rows; and the pipeline."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import corpus_pipeline
 from lattica.llm import decontaminate, queries
 from lattica.llm.common import read
 
-from .helpers import words
+from .helpers import frame, prose, words
 
 
 def plain(v):
@@ -59,3 +60,17 @@ def test_pipeline(spark, folder):
         if name == "mixing":
             assert all(r["size"] == len(words(r.text)) and r.copy <= 3 for r in docs.collect())
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_repeated_rows_and_null_ids_through_stages(spark, folder):
+    """One row of each group goes on, whole: of repeated rows, of one id with two texts, and of rows without an id."""
+    rng = random.Random(15)
+    t = [prose(rng, 120) for _ in range(7)]
+    near = " ".join(["other", *t[4].split()[1:]])
+    rows = [(1, t[0]), (1, t[0]), (2, t[0]), (3, t[1]), (None, t[1]), (None, t[2]), (None, t[2]), (4, t[3]), (4, t[5]), (None, t[4]), (None, near), (5, t[6]), (6, None), (6, None), (7, "")]
+    docs = frame(spark, rows)
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
+        docs = stage(spark, docs, folder)
+        got = [(r.doc_id, r.text) for r in docs.collect()]
+        assert docs.columns == frame(spark, rows).columns and len(got) == 9
+        assert set(got) - {(None, t[4]), (None, near)} == {(1, t[0]), (3, t[1]), (None, t[2]), (4, t[3]), (4, t[5]), (5, t[6]), (6, None), (7, "")}
