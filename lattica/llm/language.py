@@ -2,10 +2,11 @@
 
 Training counts hashed byte trigrams of words (with their edges) by language over all labelled documents.
 A word's likelihood in a language is the product of its trigrams'. For a document, EM estimates the share
-of its words from each language; languages are then ordered by share, the sets of the first 1, 2, ... MOST
-are fitted, and the set with the best penalised log-likelihood is kept: each further language must gain
-PENALTY * log(words) / 2. The prediction is the language with the largest share, and the score that share
-times the posterior weight of the words it explains.
+of its words from each language; languages are then ordered by share, the sets of the first 1, 2, ... are
+fitted, and the set with the best penalised log-likelihood is kept: each further language must gain
+PENALTY * log(words) / 2. As no likelihood exceeds that of each word in its best language, a document's sets
+end where the penalty alone is more than the best set lacks. The prediction is the language with the largest
+share, and the score that share.
 
 Edge cases: null text, or text without a letter, gives `und` with score 0 and no languages; empty training
 data gives `und` for all; languages that tie go by name; a null id passes through; repeated rows are
@@ -27,7 +28,7 @@ from .textvec import _LETTERS, NOT_LETTER, Words, buffers, slices
 
 BITS = 15
 SMOOTH = 0.2
-ROUNDS, MOST, PENALTY = 8, 3, 6.0
+ROUNDS, PENALTY = 8, 6.0
 UNKNOWN = "und"
 
 
@@ -79,14 +80,19 @@ class Model:
         order = np.argsort(-full, axis=1, kind="stable")
         best = np.full(len(has), -np.inf)
         chosen = np.zeros_like(full)
-        for k in range(1, min(MOST, len(self.languages)) + 1):
-            allowed = np.zeros_like(full)
-            np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-            pi = (full + 1e-6) * allowed
-            pi, ll = _em(p, start, size, pi / pi.sum(1, keepdims=True), rounds=ROUNDS // 2 if k > 1 else 1)
-            ll = ll - PENALTY * (k - 1) * np.log(size + 1) / 2
-            take = ll > best
-            best[take], chosen[take] = ll[take], pi[take]
+        for k in range(1, len(self.languages) + 1):
+            fee = PENALTY * (k - 1) * np.log(size + 1) / 2
+            on = np.flatnonzero(best < -fee)  # the log-likelihood is 0 at most
+            if not len(on):
+                break
+            allowed = np.zeros((len(on), len(self.languages)))
+            np.put_along_axis(allowed, order[on, :k], 1.0, axis=1)
+            pi = (full[on] + 1e-6) * allowed
+            q = p if len(on) == len(has) else p[np.repeat(best < -fee, size)]
+            pi, ll = _em(q, np.cumsum(size[on]) - size[on], size[on], pi / pi.sum(1, keepdims=True), rounds=ROUNDS // 2 if k > 1 else 1)
+            ll = ll - fee[on]
+            take = ll > best[on]
+            best[on[take]], chosen[on[take]] = ll[take], pi[take]
         shares[has] = chosen
         return shares, p
 

@@ -99,6 +99,18 @@ def test_language_awkward_rows(spark, model):
     assert {r.lang_pred for r in language.predict(frame(spark, rows), nothing).collect()} == {"und"}
 
 
+def test_language_of_many(spark):
+    """A document in all of five languages has all five shares, next to documents in one and two."""
+    rng = random.Random(8)
+    own = {c: [f"{c}{x}{c}" for x in ("ka", "lo", "mi", "tu")] for c in ("qa", "wb", "xc", "yd", "ze")}
+    say = lambda c, n: " ".join(rng.choice(own[c]) for _ in range(n))
+    model = language.train(spark.createDataFrame([(say(c, 20), c) for c in own for _ in range(20)], "text string, lang string"))
+    rows = [(1, " ".join(say(c, 40) for c in own)), (2, say("xc", 40)), (3, say("ze", 40) + " " + say("qa", 20))]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert set(got[1].shares) == set(own) and all(abs(x - 0.2) < 0.02 for x in got[1].shares.values()) and abs(got[1].score - 0.2) < 0.02
+    assert set(got[2].shares) == {"xc"} and set(got[3].shares) == {"ze", "qa"}
+
+
 def test_em_finds_the_maximum(model):
     """Shares found by EM against a search over a grid."""
     rng = np.random.default_rng(0)
