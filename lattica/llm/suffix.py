@@ -1,4 +1,4 @@
-"""Suffix arrays with common prefixes by external induced sorting, for texts that need not fit in memory.
+"""Suffix arrays with common prefixes by external induced sorting, with the largest arrays and the queues in files.
 
 Suffixes that start a rise after a fall (LMS) are sorted by their substrings, named, and sorted whole by
 recursion on the names; all others are induced from them, first those that begin a fall (L), in ascending
@@ -13,6 +13,9 @@ which numpy turns into the entries it induces. Common prefixes are capped, as on
 cap is wanted; so each takes a byte or two, and suffixes that agree that far may stand in any order. Arrays
 beyond `memory` bytes are files mapped into memory. Recursion ends with names that are all different, or few
 enough (BASE) to be ordered in memory by trebling the length that ranks stand for.
+
+Memory is still linear in the text: types, LMS positions, numbers, names and seeds are plain arrays. Shards of
+passages.py are so small that they need neither files nor recursion, which tests alone exercise.
 """
 
 from __future__ import annotations
