@@ -215,6 +215,8 @@ def parse(kind: Kind, v: object, values: tuple[str, ...] = (), dim: int | None =
             except ValueError:
                 raise ValueProblem(f"not a number: {v!r}") from None
         return float(v)
+    if kind in (Kind.ENUM, Kind.SET):
+        v = from_api(kind, v, values)
     if kind is Kind.ENUM:
         if values and v not in values:
             raise ValueProblem(f"not a value of the enum: {v!r}")
@@ -260,6 +262,44 @@ def show(kind: Kind, v: object, values: tuple[str, ...] = ()) -> object:
     return v
 
 
+def enum_names(values: tuple[str, ...]) -> dict[str, str]:
+    """API names of an enum's values, by value: upper-case letters and digits of ASCII, one underscore for a run of others,
+    the code point of characters beyond ASCII; numbered where two would be equal."""
+    out: dict[str, str] = {}
+    taken: dict[str, int] = {}
+    for v in values:
+        parts = re.sub(r"[^\x00-\x7f]", lambda m: f"\0U{ord(m[0]):0{4 if ord(m[0]) <= 0xFFFF else 6}X}", v)
+        base = re.sub(r"\0", "_", re.sub(r"[^A-Z0-9\0]+", "_", parts.upper()))
+        base = re.sub(r"__+", "_", base).strip("_") or "VALUE"
+        base = f"VALUE_{base}" if base[0].isdigit() else base
+        name = base
+        while name in taken:
+            taken[base] += 1
+            name = f"{base}_{taken[base]}"
+        taken[name] = 1
+        out[v] = name
+    return out
+
+
+def api(kind: Kind, v: object, values: tuple[str, ...] = ()) -> object:
+    """show(), with the API names of enum values and set members."""
+    shown = show(kind, v, values)
+    if kind in (Kind.ENUM, Kind.SET) and values and shown is not None:
+        names = enum_names(values)
+        return [names.get(x, x) for x in shown] if isinstance(shown, list) else names.get(shown, shown)
+    return shown
+
+
+def from_api(kind: Kind, v: object, values: tuple[str, ...]) -> object:
+    """An enum value or set members given by API name as they are declared; what is declared stays as it is."""
+    if kind not in (Kind.ENUM, Kind.SET) or not values:
+        return v
+    if isinstance(v, (list, tuple)):
+        return [from_api(kind, x, values) for x in v]
+    own = {n: x for x, n in enum_names(values).items()}
+    return v if v in values or not isinstance(v, str) else own.get(v, v)
+
+
 # --- expressions over rows
 
 
@@ -275,6 +315,11 @@ def uuid_bytes(c: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{32}$"), F.unhex(h))
 
 
+def json_value(c: Column, path: str) -> Column:
+    """The value at a path of JSON text, as text; null where there is none or the text is no JSON."""
+    return F.get_json_object(c, path)
+
+
 def set_members(c: Column) -> Column:
     """Comma-separated text as an array, blanks dropped."""
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.scalars import natural
 from ..plans import codecs, ordering
 from ..plans.filters import Compiler
 from ..plans.limits import DEFAULT_PAGE, MAX_PAGE, Window, window
@@ -99,6 +100,13 @@ def connect(
     return Connection(t, base, _page(base, t, order, w, columns), order, w)
 
 
+def page_at(catalog: Catalog, t: Table, limit: int, offset: int, where: dict | None = None, order_by: list[dict] | None = None, policy: str = PREFIX, compiler: Compiler | None = None) -> DataFrame:
+    """The rows at a place counted from the first, for callers without a cursor; all rows before are sorted too."""
+    order = ordering.parse(t, order_by, policy)
+    rows = (compiler or Compiler(catalog, check_indexes=False)).where(t, where).apply(catalog.rows(t))
+    return rows.orderBy(*order.expressions()).offset(natural(offset, "offset")).limit(natural(limit, "limit"))
+
+
 def connect_parent(
     catalog: Catalog, r: Relation, key: list, where: dict | None = None, order_by: list[dict] | None = None, policy: str = PREFIX, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None,
     columns: list[str] | None = None, compiler: Compiler | None = None, default: int = DEFAULT_PAGE, most: int = MAX_PAGE,

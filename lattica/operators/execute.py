@@ -1,20 +1,20 @@
-"""Runs GraphQL requests over a catalog: one query a relationship and level, never one a row."""
+"""Runs GraphQL requests over a catalog: one query a relationship and level, never one a row; equal fields of a level share one."""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from ..functions import scalars
 from ..plans import codecs, graphql, ordering
 from ..plans.filters import Compiler
-from ..plans.graphql import Document, Field
+from ..plans.graphql import Document, Field, Inline, Spread
 from ..plans.limits import DEFAULT_PAGE, Limits, window
 from ..sources.catalog import Catalog, Junction, Rel, Relation, Table
-from ..sources.versions import VersionStore, as_of
+from ..sources.versions import VersionStore, as_of, stored
 from . import aggregates as agg
-from . import connections, lookups, mutations, vectors
+from . import connections, lookups, mutations, schema, vectors
 from .relations import aggregate_by_parent, parent_names, top_by_parent
 
 _PAGE = {"first", "after", "last", "before", "where", "orderBy", "orderByPolicy"}
@@ -48,17 +48,39 @@ class Engine:
             bound = graphql.bind(op, variables)
             catalog = self.roles[role] if role is not None else self.catalog
             roots = graphql.fields(op.selections, doc, bound)
+            _check_moments(op, doc, catalog)
             run = _Run(self, catalog, doc, bound)
             return run.mutation(roots) if op.kind == "mutation" else run.query(roots)
         except (ValueError, KeyError, LookupError) as e:
             return {"data": None, "errors": [{"message": str(e)}]}
 
 
+def _check_moments(op: graphql.Operation, doc: Document, catalog: Catalog) -> None:
+    """@asOf stands on the root fields of queries only: those of a database's group, where roots are grouped."""
+
+    def walk(selections: list, depth: int, seen: frozenset) -> None:
+        for s in selections:
+            allowed = op.kind == "query" and depth in ((0, 1) if catalog.namespaced else (0,))
+            if "asOf" in s.directives and not (allowed and isinstance(s, graphql.Field)):
+                raise RequestProblem("@asOf is only allowed on root query fields")
+            if isinstance(s, graphql.Field):
+                walk(s.selections, depth + 1, seen)
+            elif isinstance(s, Inline):
+                walk(s.selections, depth, seen)
+            elif isinstance(s, Spread) and s.name in doc.fragments and s.name not in seen:
+                walk(doc.fragments[s.name].selections, depth, seen | {s.name})
+
+    walk(op.selections, 0, frozenset())
+    if "asOf" in op.directives:
+        raise RequestProblem("@asOf is only allowed on root query fields")
+
+
 class _Run:
     def __init__(self, engine: Engine, catalog: Catalog, doc: Document, variables: dict):
         self.engine, self.catalog, self.doc, self.variables = engine, catalog, doc, variables
         self.compiler = Compiler(catalog, engine.check_indexes)
         self.errors: list[dict] = []
+        self.memo: dict = {}  # what equal fields of one level share
 
     def fields(self, f: Field, *on: str) -> list[Field]:
         return graphql.fields(f.selections, self.doc, self.variables, on)
@@ -98,6 +120,8 @@ class _Run:
     def _root(self, f: Field) -> object:
         if f.name == "__typename":
             return "Query"
+        if f.name in ("__schema", "__type"):
+            return schema.introspect(self._types(), f, self.doc, self.variables)
         if self.catalog.namespaced:
             inner = {k: t for k, t in self.catalog.tables.items() if self.catalog.names.field(k[0]) == f.name}
             if inner:
@@ -110,7 +134,7 @@ class _Run:
 
     def _table_root(self, f: Field, tables: dict) -> object:
         if f.name == "node":
-            t, rows = lookups.by_node_id(self.catalog, self.args(f)["id"])
+            t, rows = lookups.by_node_id(self.catalog, self._only(f, "id")["id"])
             return self._one(f, t, rows, check=False)
         for t in tables.values():
             if self.catalog.junction(t) is Junction.PURE:
@@ -119,7 +143,7 @@ class _Run:
                 self.engine.limits.check(graphql.selection(f, self.doc, self.variables), self.engine.default_page)
                 return self._connection(f, t)
             if f.name == t.single and t.primary_key:
-                _, rows = lookups.by_node_id(self.catalog, self.args(f)["id"], t)
+                _, rows = lookups.by_node_id(self.catalog, self._only(f, "id")["id"], t)
                 return self._one(f, t, rows, check=False)
             if f.name.startswith(f"{t.single}_by_"):
                 for key in [t.primary_key, *t.uniques]:
@@ -132,10 +156,20 @@ class _Run:
                     return self._vector(f, t, c.name)
         raise RequestProblem(f"no field {f.name}")
 
+    def _types(self) -> dict:
+        return schema.types(self.catalog, self.engine.rules if self.engine.store is not None else None, self.engine.require_vector_index)
+
+    def _only(self, f: Field, *names: str) -> dict:
+        """The arguments, which must be just these."""
+        args = self.args(f)
+        if set(args) != set(names):
+            raise RequestProblem(f"{f.name}: takes {', '.join(names)}")
+        return args
+
     def _one(self, f: Field, t: Table, rows, check: bool = True) -> dict | None:
         if check:
             self.engine.limits.check(graphql.selection(f, self.doc, self.variables), self.engine.default_page)
-        got = rows.collect()
+        got = rows.select(*self._read(self.fields(f, t.type_name, "Node"), t)).collect()  # one row
         return self._rows(f, t, [got[0].asDict()])[0] if got else None
 
     # --- connections
@@ -158,15 +192,18 @@ class _Run:
 
     def _columns(self, f: Field, t: Table) -> list[str]:
         """Columns that the selection of nodes needs: its own, the key, and the local side of relationships."""
-        wanted = set(t.primary_key)
-        for n in self._node_fields(f):
-            for x in self.fields(n, t.type_name, "Node"):
-                c = next((c for fl, c in t.fields if fl == x.name), None)
-                r = t.relation(x.name)
-                if c is not None:
-                    wanted.add(c)
-                elif r is not None:
-                    wanted |= set(r.columns)
+        return self._read([x for n in self._node_fields(f) for x in self.fields(n, t.type_name, "Node")], t)
+
+    def _read(self, chosen: list[Field], t: Table, more: tuple[str, ...] = ()) -> list[str]:
+        """Columns that fields of a row need, with the key and `more`."""
+        wanted = {*t.primary_key, *more}
+        for x in chosen:
+            c = next((c for fl, c in t.fields if fl == x.name), None)
+            r = t.relation(x.name)
+            if c is not None:
+                wanted.add(c)
+            elif r is not None:
+                wanted |= set(r.columns)
         return [c.name for c in t.columns if c.name in wanted]
 
     def _aggregate_selection(self, f: Field) -> dict:
@@ -188,12 +225,16 @@ class _Run:
                 for y in self.fields(x):
                     c = t.column_of(y.name)
                     v = got.get(x.name, {}).get(c.name)
-                    part[y.key] = scalars.show(c.kind, v, c.values) if x.name in ("min", "max") else v
+                    part[y.key] = scalars.api(c.kind, v, c.values) if x.name in ("min", "max") else v
                 out[x.key] = part
         return out
 
     def _connection(self, f: Field, t: Table) -> dict:
-        c = connections.connect(self.catalog, t, columns=self._columns(f, t), **self._page_args(f))
+        key = ("page", t.key, repr(sorted(self.args(f).items())))
+        columns = self._columns(f, t)
+        if key not in self.memo or not set(columns) <= self.memo[key][1]:
+            self.memo[key] = connections.connect(self.catalog, t, columns=columns, **self._page_args(f)), set(columns)
+        c = self.memo[key][0]
         return self._show_connection(f, t, c)
 
     def _show_connection(self, f: Field, t: Table, c: connections.Connection, count: Callable[[], int] | None = None, aggregate: Callable[[dict], dict] | None = None) -> dict:
@@ -235,7 +276,7 @@ class _Run:
                 values = [codecs.node_id(t.type_name, [r[k] for k in t.primary_key]) for r in rows]
             elif any(fl == x.name for fl, _ in t.fields):
                 c = t.column_of(x.name)
-                values = [scalars.show(c.kind, r[c.name], c.values) for r in rows]
+                values = [scalars.api(c.kind, r[c.name], c.values) for r in rows]
             elif (r := t.relation(x.name)) is not None:
                 values = self._related(x, r, rows)
             else:
@@ -251,7 +292,11 @@ class _Run:
         if r.kind is Rel.TO_ONE:
             if not whole:
                 return [None] * len(parents)
-            got = [x.asDict() for x in lookups.batch(self.catalog, t, list(r.target_columns), whole).collect()]  # a row for each of a page's keys
+            read = self._read(self.fields(f, t.type_name, "Node"), t, r.target_columns)
+            key = ("one", r.field, r.target, tuple(whole), tuple(read))
+            if key not in self.memo:
+                self.memo[key] = [x.asDict() for x in lookups.batch(self.catalog, t, list(r.target_columns), whole).select(*read).collect()]  # a row for each of a page's keys
+            got = self.memo[key]
             shown = dict(zip([tuple(x[c] for c in r.target_columns) for x in got], self._rows(f, t, got), strict=True))
             return [shown.get(k) for k in keys]
         args = self._page_args(f)
@@ -276,17 +321,23 @@ class _Run:
                 counts[name] = found
             return counts[name]
 
-        if w.after or w.backward:
-            pages = {k: connections.connect_parent(self.catalog, r, list(k), **args) for k in dict.fromkeys(keys)}
-        else:
+        # one window for all parents, whichever way it is read and wherever it begins: the cursor is the same for all
+        columns = self._columns(f, t)
+        memo = ("many", r.field, r.target, r.junction, tuple(whole), tuple(columns), repr(sorted(self.args(f).items())))
+        if memo not in self.memo:
+            read = order.reversed() if w.backward else order
+            cursor = w.before if w.backward else w.after
+            seek = codecs.cursor_values(codecs.read_cursor(cursor, t.type_name, order.name, list(order.directions)), list(order.columns)) if cursor else None
             grouped: dict[tuple, list] = {}
             frame = self._keys(whole, r)
             if frame is not None:
-                got = top_by_parent(self.catalog, r, w.size + 1, 0, order, args.get("where"), frame, self.compiler)
+                got = top_by_parent(self.catalog, r, w.size + 1, 0, read, args.get("where"), frame, self.compiler, seek, columns)
                 names = parent_names(len(r.columns))
                 for row in sorted(got.collect(), key=lambda x: x["_rn"]):  # a page a parent and one row
                     grouped.setdefault(tuple(row[n] for n in names), []).append(row)
-            pages = {k: _Fetched(t, None, None, order, w, grouped.get(k, [])) for k in dict.fromkeys(keys)}
+            self.memo[memo] = grouped
+        grouped = self.memo[memo]
+        pages = {k: _Fetched(t, None, None, order, w, grouped.get(k, [])) for k in dict.fromkeys(keys)}
         empty = {"count": 0}
         return [self._show_connection(f, t, pages[k], lambda k=k: totals({"count": True}).get(k, empty)["count"], lambda s, k=k: totals(s).get(k, empty)) for k in keys]
 
@@ -346,20 +397,21 @@ class _Run:
         args = self.args(f)
         for t in self.catalog.tables.values():
             for verb in ("create", "update", "delete"):
-                if f.name == f"{verb}{t.type_name}":
+                if f.name == f"{verb}{t.type_name}" and self.engine.rules.table(self.catalog, t):
                     if verb == "create":
-                        got = request.create(t.name, args["input"])
+                        got = request.create(t.key, args["input"])
                     elif verb == "update":
-                        got = request.update(t.name, args["id"], args.get("set") or {})
+                        got = request.update(t.key, args["id"], args.get("set") or {})
                     else:
-                        got = request.delete(t.name, args["id"])
+                        got = request.delete(t.key, args["id"])
                     return self._outcome(f, t, got, request)
         raise RequestProblem(f"no mutation {f.name}")
 
     def _outcome(self, f: Field, t: Table, got: mutations.Result, request: mutations.Request) -> dict:
         kind = f"{got.error[0]}Error" if got.error else f"{f.name[:1].upper()}{f.name[1:]}Success"
         entity = t.type_name[:1].lower() + t.type_name[1:]
-        staged = _Run(self.engine, Catalog(self.catalog.tables, {k: (lambda x=x: request.rows(x)) if x.name in request.manifest.tables else self.catalog.readers[k] for k, x in self.catalog.tables.items()}, self.catalog.names), self.doc, self.variables)
+        readers = {k: (lambda x=x: request.rows(x)) if stored(k) in request.manifest.tables else self.catalog.readers[k] for k, x in self.catalog.tables.items()}
+        staged = _Run(self.engine, replace(self.catalog, readers=readers), self.doc, self.variables)
         out: dict = {}
         for x in self.fields(f, kind, "MutationError" if got.error else kind):
             if x.name == "__typename":

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kinds import Kind
 from ..plans import codecs
 from ..plans.filters import _value, literal, tuple_in
 from ..sources.catalog import Catalog, Relation, Table
@@ -63,3 +65,19 @@ def parent_of(catalog: Catalog, r: Relation, values: list) -> DataFrame | None:
 def batch(catalog: Catalog, t: Table, columns: list[str], tuples: list[tuple]) -> DataFrame:
     """Rows whose columns are among the tuples, in one semi join."""
     return tuple_in(catalog.rows(t), columns, tuples)
+
+
+def node_ids(catalog: Catalog, t: Table, name: str = "id") -> DataFrame:
+    """The table's columns and each row's node id, as codecs.node_id gives it."""
+    parts = [F.lit(json.dumps(t.type_name))]
+    for k in t.primary_key:
+        c = t.column(k)
+        if c.kind in (Kind.INT, Kind.BIGINT):
+            parts.append(F.col(k).cast("string"))
+        elif c.kind in (Kind.STRING, Kind.ENUM, Kind.SET):
+            # a quoted text; beyond ASCII codecs writes escapes, which read back alike
+            parts.append(F.regexp_extract(F.to_json(F.struct(F.col(k).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+        else:
+            raise BadLookup(f"no node ids over {c.kind.value} keys")
+    joined = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    return catalog.rows(t).withColumn(name, F.base64(F.encode(joined, "UTF-8")))

@@ -6,6 +6,7 @@ Failures of one mutation are returned as typed errors; any error undoes the whol
 
 from __future__ import annotations
 
+import fnmatch
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -16,7 +17,7 @@ from ..functions import scalars
 from ..plans import codecs
 from ..plans.filters import literal
 from ..sources.catalog import Catalog, Column, Junction, Rel, Relation, Table
-from ..sources.versions import Manifest, VersionStore
+from ..sources.versions import Manifest, VersionStore, stored
 
 
 class MutationError(Exception):
@@ -29,19 +30,37 @@ class MutationError(Exception):
 
 @dataclass(frozen=True)
 class Rules:
-    """Tables that may not be written, beside views, pure junctions and tables without a key."""
+    """Patterns of what may be written; what is denied wins. Columns are matched as table.column or column.
 
-    deny: frozenset[str] = frozenset()
+    Views, pure junctions and tables without a key are never written.
+    """
+
+    allow: tuple[str, ...] = ("*",)
+    deny: tuple[str, ...] | frozenset[str] = ()
+    allow_columns: tuple[str, ...] = ("*",)
+    deny_columns: tuple[str, ...] = ()
+
+    def table(self, catalog: Catalog, t: Table) -> bool:
+        hit = lambda ps: any(fnmatch.fnmatchcase(t.name.lower(), p.lower()) for p in ps)
+        return bool(t.primary_key) and not t.view and catalog.junction(t) is not Junction.PURE and hit(self.allow) and not hit(self.deny)
+
+    def column(self, t: Table, c: Column) -> bool:
+        hit = lambda ps: any(fnmatch.fnmatchcase(x.lower(), p.lower()) for p in ps for x in (c.name, f"{t.name}.{c.name}"))
+        return not c.generated and not c.expression and hit(self.allow_columns) and not hit(self.deny_columns)
+
+    def lacking(self, t: Table) -> list[str]:
+        """Columns that a new row needs and no input can give."""
+        return [*t.unseen, *(c.name for c in required(t) if not self.column(t, c))]
 
     def check(self, catalog: Catalog, t: Table, creating: bool = False) -> None:
-        if t.view or not t.primary_key or catalog.junction(t) is Junction.PURE or t.name in self.deny:
+        if not self.table(catalog, t):
             raise MutationError("Permission", f"{t.name} cannot be written")
-        if creating and (lacking := [c.name for c in required(t) if c.generated]):
+        if creating and (lacking := self.lacking(t)):
             raise MutationError("Permission", f"{t.name} has required columns that no input covers: {', '.join(lacking)}")
 
 
 def required(t: Table) -> list[Column]:
-    return [c for c in t.columns if not (c.nullable or c.has_default or c.auto or c.generated)]
+    return [c for c in t.columns if not (c.nullable or c.has_default or c.auto or c.generated or c.expression)]
 
 
 @dataclass
@@ -54,7 +73,11 @@ class Result:
 
 @dataclass
 class Request:
-    """One request's staged writes. Reads inside it see them."""
+    """One request's staged writes. Reads inside it see them.
+
+    Rows that a policy hides cannot be changed, deleted, connected to or returned; keys and references are checked
+    against all rows, as they hold for all.
+    """
 
     catalog: Catalog
     store: VersionStore
@@ -68,8 +91,9 @@ class Request:
     # --- the staged state
 
     def rows(self, t: Table) -> DataFrame:
-        base = self.store.read(self.manifest, t.name)
-        changes = {tuple(r[k] for k in t.primary_key): (r, gone) for r, gone in self.staged.get(t.name, ())}
+        """All rows as stored and staged, with no policy."""
+        base = self.store.read(self.manifest, stored(t.key))
+        changes = {tuple(r[k] for k in t.primary_key): (r, gone) for r, gone in self.staged.get(stored(t.key), ())}
         if not changes:
             return base
         spark = self.store.spark
@@ -80,9 +104,11 @@ class Request:
         live = [tuple(r.get(f.name) for f in schema) for r, gone in changes.values() if not gone]
         return kept.union(spark.createDataFrame(live, schema)) if live else kept
 
-    def _find(self, t: Table, values: dict[str, object]) -> dict | None:
+    def _find(self, t: Table, values: dict[str, object], every: bool = False) -> dict | None:
+        """The row with these values, of those that the policy admits or of every one."""
+        rows = self.catalog.computed(t, self.rows(t)) if every else self.catalog.seen(t, self.rows(t))
         parts = [F.col(n).isNull() if v is None else F.col(n) == literal(t.column(n), v) for n, v in values.items()]
-        got = self.rows(t).where(reduce(lambda a, b: a & b, parts)).limit(1).collect()
+        got = rows.where(reduce(lambda a, b: a & b, parts)).limit(1).collect()
         return got[0].asDict() if got else None
 
     # --- checks
@@ -93,7 +119,7 @@ class Request:
             c = t.column_of(name)
             if c is None:
                 raise MutationError("InputValidation", f"unknown field {name} of {t.name}")
-            if c.generated or updating and c.name in t.primary_key:
+            if not self.rules.column(t, c) or updating and c.name in t.primary_key:
                 raise MutationError("InputValidation", f"{name} cannot be written")
             try:
                 out[c.name] = scalars.parse(c.kind, v, c.values, c.dim)
@@ -103,12 +129,21 @@ class Request:
                 raise MutationError("Constraint", f"{name} must not be null")
         return out
 
+    def _complete(self, t: Table, row: dict) -> dict:
+        """The row with its generated columns, where a key has some."""
+        if not any(c.expression for c in t.columns):
+            return row
+        schema = self.rows(t).schema
+        one = self.store.spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema)
+        return row | self.catalog.computed(t, one).collect()[0].asDict()
+
     def _unique(self, t: Table, row: dict, itself: tuple | None = None) -> None:
+        row = self._complete(t, row)
         for columns in [t.primary_key, *t.uniques]:
             values = {c: row.get(c) for c in columns}
             if any(v is None for v in values.values()):
                 continue
-            found = self._find(t, values)
+            found = self._find(t, values, every=True)
             if found and tuple(found[k] for k in t.primary_key) != itself:
                 raise MutationError("Conflict", f"{t.name} has a row with this {', '.join(columns)} already")
 
@@ -117,11 +152,11 @@ class Request:
             values = [row.get(c) for c in f.columns]
             if any(v is None for v in values):
                 continue
-            if self._find(self.catalog.tables[f.target], dict(zip(f.target_columns, values, strict=True))) is None:
+            if self._find(self.catalog.tables[f.target], dict(zip(f.target_columns, values, strict=True)), every=True) is None:
                 raise MutationError("Constraint", f"{t.name} refers to a row of {f.target[1]} that does not exist")
 
     def _stage(self, t: Table, row: dict, gone: bool = False) -> None:
-        self.staged.setdefault(t.name, []).append((row, gone))
+        self.staged.setdefault(stored(t.key), []).append((row, gone))
 
     # --- writes
 
@@ -137,7 +172,7 @@ class Request:
             else:
                 (links if r.kind is Rel.THROUGH else nested).append((r, v))
         row = {c.name: None for c in t.columns} | self._parse(t, own, False) | (fixed or {})
-        entry = self.manifest.tables[t.name]
+        entry = self.manifest.tables[stored(t.key)]
         for c in t.columns:
             if c.auto and row[c.name] is None:
                 row[c.name] = entry["next"]
@@ -148,6 +183,7 @@ class Request:
         self._unique(t, row)
         self._references(t, row)
         self._stage(t, row)
+        row = self._complete(t, row)
         for r, items in nested:
             self._nest(row, r, items)
         for r, items in links:
@@ -221,7 +257,7 @@ class Request:
         self._unique(t, row, tuple(found[k] for k in t.primary_key))
         self._references(t, row)
         self._stage(t, row)
-        return row
+        return self._complete(t, row)
 
     def _delete(self, t: Table, ident: str | dict) -> dict:
         self.rules.check(self.catalog, t)
@@ -230,7 +266,7 @@ class Request:
             raise MutationError("NotFound", f"no such row of {t.name}")
         for other in self.catalog.tables.values():
             for f in other.foreign_keys:
-                if f.target == t.key and other.name in self.manifest.tables and self._find(other, {c: found[p] for c, p in zip(f.columns, f.target_columns, strict=True)}):
+                if f.target == t.key and stored(other.key) in self.manifest.tables and self._find(other, {c: found[p] for c, p in zip(f.columns, f.target_columns, strict=True)}, every=True):
                     raise MutationError("Constraint", f"rows of {other.name} refer to this row")
         self._stage(t, found, True)
         return found
@@ -245,14 +281,14 @@ class Request:
             self.failed = True
             return Result(error=("InputValidation", str(e)))
 
-    def create(self, table: str, given: dict) -> Result:
+    def create(self, table: str | tuple[str, str], given: dict) -> Result:
         return self._attempt(lambda: self._create(self.catalog.table(table), given))
 
-    def update(self, table: str, ident: str | dict, given: dict) -> Result:
+    def update(self, table: str | tuple[str, str], ident: str | dict, given: dict) -> Result:
         """An empty change is a read; a row that does not exist gives null, not an error."""
         return self._attempt(lambda: self._update(self.catalog.table(table), ident, given))
 
-    def delete(self, table: str, ident: str | dict) -> Result:
+    def delete(self, table: str | tuple[str, str], ident: str | dict) -> Result:
         return self._attempt(lambda: self._delete(self.catalog.table(table), ident))
 
     def finish(self) -> Manifest | None:
@@ -265,5 +301,5 @@ class Request:
 
 
 def versioned(catalog: Catalog, store: VersionStore, manifest: Manifest) -> Catalog:
-    """The catalog over the rows of one version."""
-    return replace(catalog, readers={k: (lambda n=k[1]: store.read(manifest, n)) if k[1] in manifest.tables else f for k, f in catalog.readers.items()})
+    """The catalog over the rows of one version; its policies hold for those too."""
+    return replace(catalog, readers={k: (lambda n=stored(k): store.read(manifest, n)) if stored(k) in manifest.tables else f for k, f in catalog.readers.items()})

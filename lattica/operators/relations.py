@@ -6,6 +6,8 @@ Spark turns into a group limit before the shuffle, so a parent with very many ro
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,14 +47,25 @@ def rows_by_parent(catalog: Catalog, r: Relation, where: dict | None = None, com
     return t, rows.select(*[F.col(c).alias(n) for c, n in zip(r.target_columns, names, strict=True)], "*").where(" and ".join(f"{n} is not null" for n in names))
 
 
-def top_by_parent(catalog: Catalog, r: Relation, limit: int, offset: int = 0, order: Order | None = None, where: dict | None = None, parents: DataFrame | None = None, compiler: Compiler | None = None) -> DataFrame:
-    """At most `limit` rows of each parent after `offset`, numbered in _rn; of `parents` (their key columns) only, if given."""
+def top_by_parent(
+    catalog: Catalog, r: Relation, limit: int, offset: int = 0, order: Order | None = None, where: dict | None = None, parents: DataFrame | None = None, compiler: Compiler | None = None,
+    seek: list | None = None, columns: Iterable[str] | None = None,
+) -> DataFrame:
+    """At most `limit` rows of each parent after `offset`, numbered in _rn; of `parents` (their key columns) only, if given.
+
+    seek: order values that the rows stand after; columns: what is read beside key and order, all if not given.
+    """
     t, rows = rows_by_parent(catalog, r, where, compiler)
     names = [c for c in rows.columns if c.startswith("_parent_")]
+    order = order or ordering.parse(t, None)
+    if seek is not None:
+        rows = rows.where(order.after(seek))
+    if columns is not None:
+        needed = {*columns, *t.primary_key, *(c.name for c in order.columns)}
+        rows = rows.select(*names, *[c.name for c in t.columns if c.name in needed])
     if parents is not None:
         keys = parents.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(r.columns)]).distinct()
         rows = rows.join(keys, [F.col(n) == F.col(f"_key_{i}") for i, n in enumerate(names)], "left_semi")
-    order = order or ordering.parse(t, None)
     numbered = rows.withColumn(ROW, F.row_number().over(W.partitionBy(*names).orderBy(*order.expressions())))
     return numbered.where(F.col(ROW) <= offset + limit).where(F.col(ROW) > offset)
 

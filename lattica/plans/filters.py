@@ -71,6 +71,7 @@ def _each(column: Column, v: object) -> list:
 def _members(column: Column, v: object) -> list[str]:
     if not isinstance(v, (list, tuple)):
         raise BadFilter(f"{column.name}: a list is needed")
+    v = scalars.from_api(column.kind, v, column.values)
     if unknown := [x for x in v if column.values and x not in column.values]:
         raise BadFilter(f"{column.name}: not members of the set: {unknown}")
     return list(v)

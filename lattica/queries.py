@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +100,18 @@ def _(c: Catalog) -> DataFrame:
 
 @_query("node_ids", "SELECT o_orderkey, to_base64(encode('[\"Order\",' || o_orderkey || ']')) AS id FROM orders")
 def _(c: Catalog) -> DataFrame:
-    return c.rows(c.table("orders")).select("o_orderkey", F.base64(F.concat(F.lit('["Order",'), F.col("o_orderkey").cast("string"), F.lit("]"))).alias("id"))
+    return lookups.node_ids(c, c.table("orders")).select("o_orderkey", "id")
+
+
+@_query("node_ids_composite", """SELECT conv_id, turn, to_base64(encode('["Conversation",' || conv_id || ',' || turn || ']')) AS id FROM conversations""")
+def _(c: Catalog) -> DataFrame:
+    return lookups.node_ids(c, c.table("conversations")).select("conv_id", "turn", "id")
+
+
+@_query("lookup_single_by_id", "SELECT * FROM nation WHERE n_nationkey = 3")
+def _(c: Catalog) -> DataFrame:
+    t = c.table("nation")
+    return lookups.by_node_id(c, codecs.node_id(t.type_name, [3]), t)[1]
 
 
 _page("project_order_columns", "orders", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50", "o_orderkey, o_totalprice, o_orderstatus", first=50, columns=["o_totalprice", "o_orderstatus"])
@@ -212,7 +227,7 @@ _page("page_composite_key", "lineitem", "SELECT l_orderkey, l_linenumber, l_part
 @_query("page_offset", f"SELECT {_COLS} FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30")
 def _(c: Catalog) -> DataFrame:
     t = c.table("orders")
-    return c.rows(t).orderBy(*ordering.parse(t, None).expressions()).offset(30).limit(10).select(*_COLS.split(", "))
+    return connections.page_at(c, t, 10, 30).select(*_COLS.split(", "))
 
 
 # --- counts and aggregates
@@ -297,7 +312,7 @@ _filtered("rel_unlabelled", "documents", {"labels": {"none": {}}}, "doc_id", "NO
 _filtered("rel_some_under_or", "customer", {"OR": [{"orders": {"some": {"oTotalprice": {"gt": 480000}}}}, {"cAcctbal": {"lt": 0}}]}, "c_custkey", f"EXISTS ({_BIG}) OR c_acctbal < 0")
 _filtered("rel_none_under_or", "customer", {"OR": [{"events": {"none": {}}}, {"cAcctbal": {"gt": 9000}}]}, "c_custkey", "NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey) OR c_acctbal > 9000")
 _filtered("rel_m2m_some", "part", {"suppliers": {"some": {"sAcctbal": {"gt": 9000}, "sSuppkey": {"gte": 0}}}}, "p_partkey", "EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9000 AND s_suppkey >= 0)")
-_filtered("rel_m2m_none", "part", {"suppliers": {"none": {"sAcctbal": {"gt": 5000}, "sSuppkey": {"gte": 0}}}}, "p_partkey", "NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 5000 AND s_suppkey >= 0)")
+_filtered("rel_m2m_none", "part", {"suppliers": {"none": {"sAcctbal": {"gt": 9500}, "sSuppkey": {"gte": 0}}}}, "p_partkey", "NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9500 AND s_suppkey >= 0)")
 _filtered("rel_edge_some", "part", {"supplies": {"some": {"quantity": {"gt": 60}}}}, "p_partkey", "EXISTS (SELECT 1 FROM (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_partkey, l_suppkey) WHERE l_partkey = p_partkey AND q > 60)")
 
 # --- traversals
@@ -383,11 +398,16 @@ def _(c: Catalog) -> DataFrame:
     return c.rows(c.table("supplier")).select("s_suppkey", scalars.shown(Kind.BYTES, F.encode("s_name", "UTF-8")).alias("name"))
 
 
-@_query("enum_ordinal", "SELECT o_orderkey, o_orderpriority AS priority, substr(o_orderpriority, 1, 1)::BIGINT AS ordinal FROM orders")
+@_query("enum_ordinal", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'O' WHEN 2 THEN 'F' WHEN 3 THEN 'P' END AS literal, nullif(list_position(['O', 'F', 'P'], o_orderstatus), 0)::BIGINT AS ordinal FROM orders")
 def _(c: Catalog) -> DataFrame:
-    values = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-    n = F.substring("o_orderpriority", 1, 1).cast("int")
-    return c.rows(c.table("orders")).select("o_orderkey", F.coalesce(F.nullif(scalars.enum_literal(n, values), F.lit("")), F.lit("")).alias("_l"), F.col("o_orderpriority").alias("priority"), n.cast("long").alias("ordinal")).drop("_l")
+    values = ("O", "F", "P")
+    return c.rows(c.table("orders")).select("o_orderkey", scalars.enum_literal(F.col("o_orderkey") % 4, values).alias("literal"), scalars.enum_ordinal(F.col("o_orderstatus"), values).alias("ordinal"))
+
+
+@_query("enum_names", "SELECT * FROM (VALUES ('1-URGENT', 'VALUE_1_URGENT'), ('4-NOT SPECIFIED', 'VALUE_4_NOT_SPECIFIED'), ('a b', 'A_B'), ('A_B', 'A_B_2'), ('été', 'U00E9T_U00E9'), ('', 'VALUE')) AS t(value, name)")
+def _(c: Catalog) -> DataFrame:
+    names = scalars.enum_names(("1-URGENT", "4-NOT SPECIFIED", "a b", "A_B", "été", ""))
+    return _rows_of(c, list(names.items()), "value string, name string")
 
 
 @_query("set_canonical", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en,x' WHEN 'de' THEN 'de,x' ELSE 'x' END AS tags FROM documents")
@@ -398,7 +418,7 @@ def _(c: Catalog) -> DataFrame:
 
 @_query("json_extract", "SELECT event_id, props->>'$.page' AS page FROM events")
 def _(c: Catalog) -> DataFrame:
-    return c.rows(c.table("events")).select("event_id", F.get_json_object("props", "$.page").alias("page"))
+    return c.rows(c.table("events")).select("event_id", scalars.json_value(F.col("props"), "$.page").alias("page"))
 
 
 @_query("datetime_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -433,21 +453,330 @@ def _(c: Catalog) -> DataFrame:
     return seen.rows(seen.table("customer"))
 
 
-@_query("as_of_snapshot", "SELECT event_type, count(*) AS n, min(ts) AS first_ts FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY event_type")
+def _written(c: Catalog) -> tuple:
+    """Customers in a store of two versions: as they are, and after a request that updates, deletes and creates. The store is the session's own."""
+    from .operators.mutations import Request
+    from .sources.catalog import Index, build, infer
+    from .sources.versions import VersionStore
+
+    rows = c.rows(c.table("customer")).select("c_custkey", "c_name", "c_acctbal")
+    spark = rows.sparkSession
+    store = VersionStore(spark, f"{_folder(spark)}/lattica/members-{uuid.uuid4().hex[:12]}")
+    m = store.manifest()
+    store.add_table(m, "customer", rows, ("c_custkey",))
+    store.commit(m, now=dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp())
+    t = infer("customer", rows, ("c_custkey",), indexes=(Index("n", ("c_name",), unique=True),))
+    members = build([t], {t.key: lambda: store.read(store.manifest(), "customer")})
+    r = Request(members, store)
+    done = [
+        r.update("customer", {"cCustkey": 1}, {"cAcctbal": -5.5}),
+        r.delete("customer", {"cCustkey": 2}),
+        r.create("customer", {"cCustkey": -7, "cName": "new", "cAcctbal": None}),
+        r.update("customer", codecs.node_id("Customer", [-7]), {"cAcctbal": 1.25}),
+    ]
+    if any(x.error for x in done):
+        raise RuntimeError(f"a write failed: {[x.error for x in done]}")
+    r.finish()
+    return members, store
+
+
+def _folder(spark: SparkSession) -> str:
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return f"file://{tempfile.gettempdir()}"
+
+
+@_query("as_of_version", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(c: Catalog) -> DataFrame:
+    """The older of two versions, by its time."""
+    from .operators.mutations import versioned
+
+    members, store = _written(c)
+    past = versioned(members, store, store.manifest(at=dt.datetime(2024, 2, 1)))
+    return past.rows(past.table("customer"))
+
+
+@_query("write_state", "SELECT c_custkey, c_name, CASE c_custkey WHEN 1 THEN -5.5 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 2 UNION ALL SELECT -7, 'new', 1.25")
+def _(c: Catalog) -> DataFrame:
+    """The state after an update, a deletion, a creation and an update of what was created."""
+    members, _ = _written(c)
+    return members.rows(members.table("customer"))
+
+
+@_query("write_compacted", "SELECT c_custkey, c_name, CASE c_custkey WHEN 1 THEN -5.5 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 2 UNION ALL SELECT -7, 'new', 1.25")
+def _(c: Catalog) -> DataFrame:
+    members, store = _written(c)
+    store.compact("customer")
+    return members.rows(members.table("customer"))
+
+
+@_query("write_errors", "SELECT * FROM (VALUES ('duplicate key', 'Conflict'), ('duplicate name', 'Conflict'), ('null key', 'Constraint'), ('key changed', 'InputValidation'), ('nothing deleted', 'NotFound'), ('table denied', 'Permission'), ('unknown field', 'InputValidation'), ('committed', 'no')) AS t(attempt, error)")
+def _(c: Catalog) -> DataFrame:
+    """Typed errors; any of them undoes its request."""
+    from .operators.mutations import Request, Rules
+
+    members, store = _written(c)
+    tries = {
+        "duplicate key": lambda r: r.create("customer", {"cCustkey": 1, "cName": "x"}),
+        "duplicate name": lambda r: r.create("customer", {"cCustkey": -9, "cName": "new"}),
+        "null key": lambda r: r.create("customer", {"cName": "x"}),
+        "key changed": lambda r: r.update("customer", {"cCustkey": 1}, {"cCustkey": 3}),
+        "nothing deleted": lambda r: r.delete("customer", {"cCustkey": 2}),
+        "unknown field": lambda r: r.update("customer", {"cCustkey": 1}, {"nope": 3}),
+    }
+    before = store.manifest().version
+    out = []
+    for name, f in tries.items():
+        r = Request(members, store)
+        out.append((name, f(r).error[0]))
+        r.finish()
+    out.append(("table denied", Request(members, store, Rules(deny=("cust*",))).delete("customer", {"cCustkey": 1}).error[0]))
+    return _rows_of(c, [*out, ("committed", "no" if store.manifest().version == before else "yes")], "attempt string, error string")
+
+
+@_query("role_as_of", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
 def _(c: Catalog) -> DataFrame:
-    """Events known at a moment, by their own time: the log's state then."""
-    t = c.table("events")
-    rows = Compiler(c, check_indexes=False).where(t, {"ts": {"lte": "2024-01-15T00:00:00Z"}}).apply(c.rows(t))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    """A role's policy on an older version, over a column that the role does not see."""
+    from .operators.mutations import versioned
+    from .sources.catalog import Filters
 
+    members, store = _written(c)
+    role = members.for_role(Filters(deny_columns=("c_acctbal",)), {"customer": lambda df: df.where("c_acctbal > 0")})
+    past = versioned(role, store, store.manifest(1))
+    return past.rows(past.table("customer"))
 
-@_query("catalog_relations", None)
+
+@_query("role_write_hidden", "SELECT * FROM (SELECT c_custkey, c_acctbal > 0 AS found FROM customer WHERE c_custkey IN (3, 4, 5, 6, 8, 9))")
+def _(c: Catalog) -> DataFrame:
+    """What a role's policy hides cannot be updated: each row, and whether an update found it."""
+    from .operators.mutations import Request
+    from .sources.catalog import Filters
+
+    members, store = _written(c)
+    role = members.for_role(Filters(), {"customer": lambda df: df.where("c_acctbal > 0")})
+    r = Request(role, store)
+    return _rows_of(c, [(i, r.update("customer", {"cCustkey": i}, {"cName": f"renamed {i}"}).row is not None) for i in (3, 4, 5, 6, 8, 9)], "c_custkey long, found boolean")
+
+
+# --- generated columns, nulls, composite keys
+
+
+@_query("generated_column", "SELECT o_orderkey, round(o_totalprice * 2, 2) AS twice, year(o_orderdate)::BIGINT AS ordered FROM orders WHERE year(o_orderdate) = 1997 ORDER BY o_totalprice * 2 DESC, o_orderkey LIMIT 40")
+def _(c: Catalog) -> DataFrame:
+    """Columns computed on read, filtered and ordered by."""
+    from .functions.kinds import Kind
+    from .sources.catalog import Column, Index, build
+
+    t = c.table("orders")
+    more = (Column("twice", Kind.FLOAT, generated=True, expression="o_totalprice * 2"), Column("ordered", Kind.BIGINT, generated=True, expression="cast(year(o_orderdate) as bigint)"))
+    t = replace(t, columns=t.columns + more, indexes=(*t.indexes, Index("tw", ("twice",)), Index("oy", ("ordered",))), foreign_keys=(), relations=(), fields=(), type_name="", collection="", single="")
+    made = build([t], {t.key: c.readers[t.key]})
+    page = connections.connect(made, made.table("orders"), where={"ordered": {"eq": 1997}}, order_by=[{"twice": "DESC"}], first=40, compiler=Compiler(made))
+    return page.page.limit(40).select("o_orderkey", F.round("twice", 2).alias("twice"), "ordered")
+
+
+def _nulled(c: Catalog) -> Catalog:
+    """Customers of one segment have no segment, and orders of every seventh customer no customer."""
+    customer, orders = c.table("customer"), c.table("orders")
+    made = {
+        customer.key: lambda: c.rows(customer).withColumn("c_mktsegment", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))),
+        orders.key: lambda: c.rows(orders).withColumn("o_custkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey"))),
+    }
+    return replace(c, readers=c.readers | made)
+
+
+_SEG, _CUS = "nullif(c_mktsegment, 'BUILDING')", "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END"
+
+
+def _null_filter(name: str, where: dict, sql_where: str) -> None:
+    @_query(name, f"SELECT c_custkey, s AS c_mktsegment FROM (SELECT c_custkey, {_SEG} AS s FROM customer) WHERE {sql_where}")
+    def run(c: Catalog) -> DataFrame:
+        c = _nulled(c)
+        t = c.table("customer")
+        return Compiler(c).where(t, where).apply(c.rows(t)).select("c_custkey", "c_mktsegment")
+
+
+_null_filter("null_is_null", {"cMktsegment": {"isNull": True}}, "s IS NULL")
+_null_filter("null_eq_null", {"cMktsegment": {"eq": None}}, "s IS NULL")
+_null_filter("null_ne_null", {"cMktsegment": {"ne": None}}, "s IS NOT NULL")
+_null_filter("null_ne_value", {"cMktsegment": {"ne": "MACHINERY"}}, "s <> 'MACHINERY'")
+_null_filter("null_not_in", {"cMktsegment": {"notIn": ["MACHINERY", None]}}, "s NOT IN ('MACHINERY')")
+_null_filter("null_not_like", {"cMktsegment": {"notLike": "M%"}}, "s NOT LIKE 'M%'")
+
+
+def _null_page(name: str, sql: str, **args) -> None:
+    @_query(name, f"SELECT c_custkey, s AS c_mktsegment FROM (SELECT c_custkey, {_SEG} AS s FROM customer) {sql}")
+    def run(c: Catalog) -> DataFrame:
+        c = _nulled(c)
+        return connections.connect(c, c.table("customer"), first=60, compiler=Compiler(c), **args).page.limit(60).select("c_custkey", "c_mktsegment")
+
+
+_ORDER = "c_mktsegment,c_custkey"
+_null_page("null_page_first", "ORDER BY s NULLS FIRST, c_custkey LIMIT 60", order_by=[{"cMktsegment": "ASC"}])
+_null_page("null_page_after_null", "WHERE s IS NOT NULL OR c_custkey > 40 ORDER BY s NULLS FIRST, c_custkey LIMIT 60", order_by=[{"cMktsegment": "ASC"}], after=codecs.cursor("Customer", _ORDER, ["ASC", "ASC"], [None, 40]))
+_null_page("null_page_after_last", "WHERE s IS NULL ORDER BY c_custkey LIMIT 60", order_by=[{"cMktsegment": "DESC"}], after=codecs.cursor("Customer", _ORDER, ["DESC", "ASC"], ["", 0]))
+
+
+@_query("null_rel_is_null", f"SELECT o_orderkey FROM (SELECT o_orderkey, {_CUS} AS k FROM orders) WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = k)")
+def _(c: Catalog) -> DataFrame:
+    c = _nulled(c)
+    t = c.table("orders")
+    return Compiler(c).where(t, {"oCustkeyRef": {"isNull": True}}).apply(c.rows(t)).select("o_orderkey")
+
+
+@_query("null_aggregate_by_parent", f"SELECT c_custkey, count(o_orderkey) AS count FROM customer LEFT JOIN (SELECT o_orderkey, {_CUS} AS k FROM orders) ON k = c_custkey GROUP BY c_custkey")
+def _(c: Catalog) -> DataFrame:
+    c = _nulled(c)
+    t = c.table("customer")
+    return relations.aggregate_by_parent(c, c.rows(t).select("c_custkey"), t.relation("orders"), {"count": True})
+
+
+@_query("composite_partition_top_k", "SELECT l_partkey AS part, l_suppkey AS supplier, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem QUALIFY rn <= 2")
+def _(c: Catalog) -> DataFrame:
+    """Lines of each part and supplier, numbered by a key of two columns."""
+    from .sources.catalog import Rel, Relation
+
+    key = ("l_partkey", "l_suppkey")
+    r = Relation(Rel.TO_MANY, "lines", ("", "lineitem"), key, key)
+    return relations.top_by_parent(c, r, 2).select(F.col("_parent_0").alias("part"), F.col("_parent_1").alias("supplier"), "l_orderkey", "l_linenumber", F.col("_rn").cast("long").alias("rn"))
+
+
+@_query("composite_to_one", "SELECT l_orderkey, l_linenumber, l_quantity, quantity AS supply_quantity FROM lineitem JOIN (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL) ON p = l_partkey AND s = l_suppkey")
+def _(c: Catalog) -> DataFrame:
+    from .sources.catalog import Rel, Relation
+
+    key = ("l_partkey", "l_suppkey")
+    r = Relation(Rel.TO_ONE, "supply", ("", "supply"), key, key)
+    return relations.to_one(c, c.rows(c.table("lineitem")), r, "supply_").select("l_orderkey", "l_linenumber", "l_quantity", "supply_quantity")
+
+
+# --- requests, guards, costs and the catalog
+
+
+def _rows_of(c: Catalog, rows: list[tuple], schema: str) -> DataFrame:
+    return c.rows(c.table("region")).sparkSession.createDataFrame(rows, schema)
+
+
+@_query("graphql_nested", """
+WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 6),
+o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT c_name AS customer, o_orderkey::VARCHAR AS order_key, o_totalprice AS price, n AS total FROM c JOIN o ON o_custkey = c_custkey WHERE rn <= 2""")
+def _(c: Catalog) -> DataFrame:
+    from .operators.execute import Engine
+
+    got = Engine(c).execute('{ customers(first: 6, where: {cMktsegment: {eq: "BUILDING"}}) { nodes { cName orders(first: 2, orderBy: [{oTotalprice: DESC}]) { totalCount nodes { oOrderkey oTotalprice } } } } }')
+    rows = [(x["cName"], o["oOrderkey"], o["oTotalprice"], x["orders"]["totalCount"]) for x in got["data"]["customers"]["nodes"] for o in x["orders"]["nodes"]]
+    return _rows_of(c, rows, "customer string, order_key string, price double, total long")
+
+
+@_query("graphql_nested_last", """
+WITH c AS (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 8), o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders)
+SELECT c_custkey::VARCHAR AS customer, o_orderkey::VARCHAR AS order_key, (3 - rn)::BIGINT AS place FROM c JOIN o ON o_custkey = c_custkey WHERE rn <= 2""")
+def _(c: Catalog) -> DataFrame:
+    """The last two orders of each customer: one window for all."""
+    from .operators.execute import Engine
+
+    got = Engine(c).execute("{ customers(first: 8) { nodes { cCustkey orders(last: 2) { nodes { oOrderkey } } } } }")
+    rows = [(x["cCustkey"], o["oOrderkey"], n + 3 - len(x["orders"]["nodes"])) for x in got["data"]["customers"]["nodes"] for n, o in enumerate(x["orders"]["nodes"])]
+    return _rows_of(c, rows, "customer string, order_key string, place long")
+
+
+@_query("graphql_fragments_aliases", "SELECT 'a' AS alias, n_name AS name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS region FROM nation WHERE n_nationkey = 2 UNION ALL SELECT 'b', n_name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) FROM nation WHERE n_nationkey = 5")
+def _(c: Catalog) -> DataFrame:
+    from .operators.execute import Engine
+
+    got = Engine(c).execute("query($k: BigInt!) { a: nation_by_nNationkey(nNationkey: $k) { ...N } b: nation_by_nNationkey(nNationkey: 5) { ...N skipped: nName @skip(if: true) } } fragment N on Nation { nName nRegionkeyRef { rName } }", {"k": 2})
+    return _rows_of(c, [(k, v["nName"], v["nRegionkeyRef"]["rName"]) for k, v in got["data"].items() if "skipped" not in v], "alias string, name string, region string")
+
+
+@_query("graphql_page_info", "SELECT count(*) > 5 AS has_next, false AS has_previous, count(*) AS total, 5::BIGINT AS shown FROM orders WHERE o_orderstatus = 'P'")
+def _(c: Catalog) -> DataFrame:
+    from .operators.execute import Engine
+
+    x = Engine(c).execute('{ orders(first: 5, where: {oOrderstatus: {eq: "P"}}) { pageInfo { hasNextPage hasPreviousPage } totalCount edges { cursor } } }')["data"]["orders"]
+    return _rows_of(c, [(x["pageInfo"]["hasNextPage"], x["pageInfo"]["hasPreviousPage"], x["totalCount"], len(x["edges"]))], "has_next boolean, has_previous boolean, total long, shown long")
+
+
+@_query("vector_by_text", f"SELECT vec_id, round({_COS}, 6) AS distance FROM embeddings e, {_Q} ORDER BY {_COS}, vec_id LIMIT 5")
+def _(c: Catalog) -> DataFrame:
+    """A text is made a vector by the column's embedder; here one that answers with the vector of row 0."""
+    t = c.table("embeddings")
+    v = [float(x) for x in lookups.by_key(c, t, {"vecId": 0}).collect()[0]["embedding"]]  # one row
+    named = replace(t, columns=tuple(replace(x, embedder="own") if x.name == "embedding" else x for x in t.columns))
+    s = vectors.search(replace(c, tables=c.tables | {t.key: named}), named, "embedding", query_text="row 0", first=5, embedders={"own": lambda text: v})
+    return s.rows.limit(s.size).select("vec_id", F.round("_distance", 6).alias("distance"))
+
+
+@_query("guards", "SELECT * FROM (VALUES ('unindexed filter', true), ('unindexed relation filter', true), ('order without index', true), ('order not a prefix', true), ('first and last', true), ('negative first', true), ('cursor of another order', true), ('half a key', true), ('indexed filter', false), ('depth', true), ('vector of another length', true)) AS t(request, refused)")
+def _(c: Catalog) -> DataFrame:
+    from .plans.limits import Limits, Selection
+
+    supplier, orders, customer = c.table("supplier"), c.table("orders"), c.table("customer")
+    deep = Selection("a", {}, (Selection("b", {}, (Selection("c", {}),)),))
+    tries = {
+        "unindexed filter": lambda: Compiler(c).where(supplier, {"sAcctbal": {"gt": 1}}),
+        "unindexed relation filter": lambda: Compiler(c).where(c.table("part"), {"suppliers": {"some": {"nope": {"gt": 1}}}}),
+        "order without index": lambda: ordering.parse(supplier, [{"sAcctbal": "ASC"}]),
+        "order not a prefix": lambda: ordering.parse(c.table("events"), [{"ts": "ASC"}]),
+        "first and last": lambda: connections.connect(c, orders, first=1, last=1),
+        "negative first": lambda: connections.connect(c, orders, first=-1),
+        "cursor of another order": lambda: connections.connect(c, orders, after=codecs.cursor("Order", "o_totalprice", ["ASC"], [1.0])),
+        "half a key": lambda: lookups.by_key(c, c.table("conversations"), {"convId": 1}),
+        "indexed filter": lambda: Compiler(c).where(customer, {"cAcctbal": {"gt": 1}}),
+        "depth": lambda: Limits(depth=2).check(deep),
+        "vector of another length": lambda: vectors.search(c, c.table("embeddings"), "embedding", [1.0, 2.0]),
+    }
+
+    def refused(f: Callable) -> bool:
+        try:
+            f()
+        except ValueError:
+            return True
+        return False
+
+    return _rows_of(c, [(k, refused(f)) for k, f in tries.items()], "request string, refused boolean")
+
+
+@_query("cost_estimates", "SELECT * FROM (VALUES ('nested', 4, 56, 33), ('page', 2, 4, 3)) AS t(request, depth, rows, complexity)")
+def _(c: Catalog) -> DataFrame:
+    from .plans import graphql
+    from .plans.limits import cost
+
+    out = []
+    for name, text in (("nested", "{ users(limit: 2) { posts(limit: 3) { comments(limit: 4) { id } } } }"), ("page", "{ users(first: 2) { nodes { id } pageInfo { hasNextPage } totalCount } }")):
+        d = graphql.parse(text)
+        got = cost(graphql.selection(graphql.fields(d.operation().selections, d, {})[0], d, {}))
+        out.append((name, got.depth, got.rows, got.complexity))
+    return _rows_of(c, out, "request string, depth int, rows int, complexity int")
+
+
+@_query("catalog_relations", "SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{k}', '{f}', '{t}')" for o, k, f, t in (
+    # fixed values: what the declared keys of the folder's tables give
+    ("customer", "many_to_one", "cNationkeyRef", "nation"), ("customer", "one_to_many", "events", "events"), ("customer", "one_to_many", "orders", "orders"),
+    ("documents", "one_to_many", "labels", "labels"), ("events", "many_to_one", "user", "customer"), ("labels", "many_to_one", "doc", "documents"),
+    ("lineitem", "many_to_one", "lOrderkeyRef", "orders"), ("lineitem", "many_to_one", "lPartkeyRef", "part"), ("lineitem", "many_to_one", "lSuppkeyRef", "supplier"),
+    ("nation", "many_to_one", "nRegionkeyRef", "region"), ("nation", "one_to_many", "customers", "customer"), ("nation", "one_to_many", "suppliers", "supplier"),
+    ("orders", "many_to_one", "oCustkeyRef", "customer"), ("orders", "one_to_many", "lineitems", "lineitem"), ("part", "one_to_many", "lineitems", "lineitem"),
+    ("part", "many_to_many", "suppliers", "supplier"), ("part", "edge_list", "supplies", "supply"), ("region", "one_to_many", "nations", "nation"),
+    ("supplier", "many_to_one", "sNationkeyRef", "nation"), ("supplier", "one_to_many", "lineitems", "lineitem"), ("supplier", "many_to_many", "parts", "part"), ("supplier", "edge_list", "supplies", "supply"),
+    ("supply", "many_to_one", "part", "part"), ("supply", "many_to_one", "supplier", "supplier"),
+)) + ") AS t(owner, kind, field, target)")
 def _(c: Catalog) -> DataFrame:
     """The relationships that the declared keys give."""
-    from .plans.filters import Compiler as _C  # noqa: F401
+    return _rows_of(c, [(t.name, r.kind.value, r.field, r.target[1]) for t in c.tables.values() for r in t.relations], "owner string, kind string, field string, target string")
+
+
+@_query("catalog_types", "SELECT * FROM (VALUES ('Order', 'oOrderkey', 'BigInt!'), ('Order', 'oTotalprice', 'Float'), ('Order', 'oOrderdate', 'DateTime'), ('Order', 'oOrderstatus', 'String')) AS t(type, field, kind)")
+def _(c: Catalog) -> DataFrame:
+    """Field types as introspection tells them."""
+    from .operators.execute import Engine
 
-    spark = c.rows(c.table("region")).sparkSession
-    return spark.createDataFrame([(t.name, r.kind.value, r.field, r.target[1]) for t in c.tables.values() for r in t.relations], "owner string, kind string, field string, target string")
+    got = Engine(c).execute('{ __type(name: "Order") { fields { name type { name ofType { name } } } } }')["data"]["__type"]["fields"]
+    kinds = [(f["name"], f["type"]["name"] or f"{f['type']['ofType']['name']}!") for f in got]
+    return _rows_of(c, [("Order", n, k) for n, k in kinds if n in ("oOrderkey", "oTotalprice", "oOrderdate", "oOrderstatus")], "type string, field string, kind string")
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.kinds import Kind, from_spark, from_sql
 from .naming import Names, Taken
@@ -34,6 +35,7 @@ class Column:
     comment: str = ""
     embedder: str | None = None  # names the model of a column that is embedded from text
     binary: bool = False  # a UUID kept as sixteen bytes
+    expression: str | None = None  # SQL over the stored columns that a generated column is computed by
 
     @classmethod
     def sql(cls, name: str, declared: str, **more) -> Column:
@@ -99,6 +101,7 @@ class Table:
     collection: str = ""
     single: str = ""
     fields: tuple[tuple[str, str], ...] = ()  # API field, column
+    unseen: tuple[str, ...] = ()  # columns that filters hide and a new row would need
 
     @property
     def key(self) -> TableKey:
@@ -160,7 +163,6 @@ class Filters:
     allow_columns: tuple[str, ...] = ("*",)
     deny_columns: tuple[str, ...] = ()
     views: bool = False
-    read_only: tuple[str, ...] = ()
 
     def table(self, t: Table) -> bool:
         hit = lambda ps: any(fnmatch.fnmatchcase(t.name.lower(), p.lower()) for p in ps)
@@ -194,11 +196,12 @@ class Overrides:
 
 @dataclass
 class Catalog:
-    """Tables with names and relationships, and a reader for each table's rows."""
+    """Tables with names and relationships, a reader for each table's rows, and policies that hold whatever the reader."""
 
     tables: dict[TableKey, Table]
     readers: dict[TableKey, Callable[[], DataFrame]]
     names: Names = field(default_factory=Names)
+    policies: dict[TableKey, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def table(self, name: str | TableKey) -> Table:
         if isinstance(name, tuple):
@@ -209,30 +212,43 @@ class Catalog:
         return found[0]
 
     def rows(self, t: Table) -> DataFrame:
-        """The table's visible columns, in declared order."""
-        return self.readers[t.key]().select(*[c.name for c in t.columns])
+        """The table's visible columns, in declared order, of the rows that the policy admits."""
+        return self.seen(t, self.readers[t.key]()).select(*[c.name for c in t.columns])
+
+    def seen(self, t: Table, stored: DataFrame) -> DataFrame:
+        """Stored rows that the policy admits, all columns, generated ones computed. Every read goes through here."""
+        return self.computed(t, self.policies[t.key](stored) if t.key in self.policies else stored)
+
+    def computed(self, t: Table, stored: DataFrame) -> DataFrame:
+        """Stored rows with their generated columns, whatever a file may hold for those."""
+        made = {c.name: F.expr(c.expression) for c in t.columns if c.expression}
+        return stored.withColumns(made) if made else stored
 
     def junction(self, t: Table) -> Junction | None:
         return junction(t)
 
     def fingerprint(self) -> str:
         """Changes when anything structural does."""
-        said = sorted(json.dumps([t.database, t.name, t.view, t.primary_key, [[c.name, c.kind.value, c.nullable, c.generated, c.values, c.dim] for c in t.columns], [[i.name, i.columns, i.unique, i.vector] for i in t.indexes], [[f.columns, f.target, f.target_columns] for f in t.foreign_keys]]) for t in self.tables.values())
+        said = sorted(json.dumps([t.database, t.name, t.view, t.primary_key, [[c.name, c.kind.value, c.nullable, c.generated, c.expression, c.values, c.dim] for c in t.columns], [[i.name, i.columns, i.unique, i.vector] for i in t.indexes], [[f.columns, f.target, f.target_columns] for f in t.foreign_keys]]) for t in self.tables.values())
         return hashlib.sha256("\n".join(said).encode()).hexdigest()
 
     @property
     def namespaced(self) -> bool:
         return len({t.database for t in self.tables.values()}) > 1
 
-    def for_role(self, filters: Filters, policies: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Catalog:
-        """What a role sees: a filtered schema, and rows by policy. A policy runs in the reader, below everything else."""
+    def for_role(self, filters: Filters, policies: dict[str | TableKey, Callable[[DataFrame], DataFrame]] | None = None) -> Catalog:
+        """What a role sees: a filtered schema, and rows by policy (by table, or database and table). Policies hold for older versions and writes too."""
         policies = policies or {}
+        if unknown := [k for k in policies if k not in self.tables and not any(k == t[1] for t in self.tables)]:
+            raise KeyError(f"policies of unknown tables: {unknown}")
 
-        def reader(k: TableKey) -> Callable[[], DataFrame]:
-            return (lambda: policies[k[1]](self.readers[k]())) if k[1] in policies else self.readers[k]
+        def both(k: TableKey, own: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+            return (lambda df: own(self.policies[k](df))) if k in self.policies else own
 
+        chosen = {k: policies.get(k, policies.get(k[1])) for k in self.tables}
         bare = [replace(t, relations=(), fields=(), type_name="", collection="", single="") for t in self.tables.values()]
-        return build(bare, {k: reader(k) for k in self.readers}, self.names, filters)
+        out = build(bare, dict(self.readers), self.names, filters)
+        return replace(out, policies=dict(self.policies) | {k: both(k, own) for k, own in chosen.items() if own is not None})
 
 
 def infer(name: str, df: DataFrame, primary_key: Iterable[str] = (), **more) -> Table:
@@ -246,6 +262,7 @@ def _filtered(t: Table, filters: Filters) -> Table:
     shown = {c.name for c in t.columns if filters.column(t, c.name)}
     return replace(
         t,
+        unseen=t.unseen + tuple(c.name for c in t.columns if c.name not in shown and not (c.nullable or c.has_default or c.auto or c.generated)),
         columns=tuple(c for c in t.columns if c.name in shown),
         primary_key=t.primary_key if set(t.primary_key) <= shown else (),
         indexes=tuple(i for i in t.indexes if set(i.columns) <= shown),

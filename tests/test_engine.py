@@ -228,3 +228,71 @@ def test_spark_catalog(spark):
         assert connections.connect(c, c.table("things"), first=2).has_more
     finally:
         spark.sql("drop database lt_db cascade")
+
+
+def test_pages_of_all_parents_take_one_query(spark, catalog):
+    """last, before and after of a nested page run one window for all parents, and agree with pages of one parent."""
+    e = Engine(catalog)
+    t = catalog.table("customer")
+    r = t.relation("orders")
+    first = connections.connect_parent(catalog, r, [1], first=1)
+    place = first.cursor(first.rows[0])
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("nested"))
+    for args, single in ((f'first: 2, after: "{place}"', {"first": 2, "after": place}), ("last: 2", {"last": 2}), (f'last: 2, before: "{place}"', {"last": 2, "before": place})):
+        spark.sparkContext.setJobGroup("nested", args)
+        before = jobs()
+        got = e.execute(f"{{ customers(first: 12) {{ nodes {{ cCustkey a: orders({args}) {{ nodes {{ oOrderkey }} pageInfo {{ hasNextPage hasPreviousPage startCursor }} }} b: orders({args}) {{ nodes {{ oOrderkey }} }} }} }} }}")
+        assert "errors" not in got and jobs() - before <= 8
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        for c in got["data"]["customers"]["nodes"][:4]:
+            one = connections.connect_parent(catalog, r, [int(c["cCustkey"])], **single)
+            assert [int(x["oOrderkey"]) for x in c["a"]["nodes"]] == [x["o_orderkey"] for x in one.rows] and c["b"]["nodes"] == c["a"]["nodes"]
+            assert c["a"]["pageInfo"] == {k: v for k, v in one.page_info.items() if k != "endCursor"}
+
+
+def test_selected_columns_are_read(catalog):
+    """Lookups, to-one rows and nested pages read what is selected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    e, seen = Engine(catalog), []
+    plain = DataFrame.collect
+    try:
+        DataFrame.collect = lambda self: (seen.append(set(self.columns)), plain(self))[1]
+        got = e.execute("{ order_by_oOrderkey(oOrderkey: 5) { oTotalprice oCustkeyRef { cName orders(first: 1) { nodes { oOrderdate } } } } }")
+    finally:
+        DataFrame.collect = plain
+    assert "errors" not in got
+    assert seen == [{"o_orderkey", "o_totalprice", "o_custkey"}, {"c_custkey", "c_name"}, {"_parent_0", "o_orderkey", "o_orderdate", "_rn"}]
+
+
+def test_introspection(catalog):
+    e = Engine(catalog)
+    got = e.execute('{ __schema { queryType { name } mutationType { name } types { kind name fields { name type { kind name ofType { kind name ofType { name } } } args { name } } inputFields { name type { name } } enumValues { name } } directives { name } } a: __type(name: "Order") { kind fields { name } interfaces { name } } b: __type(name: "Nope") { name } }')
+    assert "errors" not in got
+    types = {t["name"]: t for t in got["data"]["__schema"]["types"]}
+    assert got["data"]["__schema"]["queryType"]["name"] == "Query" and got["data"]["__schema"]["mutationType"] is None and got["data"]["b"] is None
+    roots = {f["name"]: f for f in types["Query"]["fields"]}
+    assert {"orders", "order", "order_by_oOrderkey", "nation_by_nName", "node", "searchEmbeddingsByEmbeddingVector"} <= set(roots) and "partSuppliers" not in roots
+    assert {a["name"] for a in roots["orders"]["args"]} == {"first", "after", "last", "before", "where", "orderBy", "orderByPolicy"}
+    assert {"lineitems", "oCustkeyRef", "id"} <= {f["name"] for f in got["data"]["a"]["fields"]} and got["data"]["a"]["interfaces"] == [{"name": "Node"}]
+    assert {"AND", "OR", "lineitems", "oTotalprice"} <= {f["name"] for f in types["OrderWhere"]["inputFields"]}
+
+    def named(t):
+        while t.get("ofType"):
+            t = t["ofType"]
+        return t["name"]
+
+    assert all(named(f["type"]) is None or named(f["type"]) in types for t in types.values() for f in t["fields"] or ())
+
+
+def test_generated_columns(spark):
+    """Computed on read, filtered, ordered and looked up like any other; files need not hold them."""
+    from lattica.functions.kinds import Kind
+    from lattica.sources.catalog import Column, Table
+
+    C = Column
+    df = spark.createDataFrame([(1, "a", '{"city": "Oslo"}', 2.0, 3), (2, "b", '{"city": "Rome"}', 1.5, 4), (3, "c", None, 1.0, 1)], "id int, name string, info string, price double, quantity int")
+    t = Table("places", (C("id", Kind.INT, nullable=False), C("name", Kind.STRING), C("info", Kind.JSON), C("price", Kind.FLOAT), C("quantity", Kind.INT), C("city", Kind.STRING, generated=True, expression="get_json_object(info, '$.city')"), C("total", Kind.FLOAT, generated=True, expression="price * quantity")), ("id",), (Index("c", ("city",)), Index("t", ("total",)), Index("u", ("city", "name"), unique=True)))
+    e = Engine(build([t], {t.key: lambda: df}))
+    got = e.execute('{ places(where: {city: {in: ["Oslo", "Rome"]}}, orderBy: [{total: DESC}]) { nodes { name city total } aggregate { sum { total } } } place_by_city_name(city: "Rome", name: "b") { total } }')
+    assert got == {"data": {"places": {"nodes": [{"name": "a", "city": "Oslo", "total": 6.0}, {"name": "b", "city": "Rome", "total": 6.0}], "aggregate": {"sum": {"total": 12.0}}}, "place_by_city_name": {"total": 6.0}}}

@@ -89,3 +89,13 @@ def test_expressions(spark):
     row = spark.sql("select unhex('0123456789abcdef0123456789abcdef') b, 'a, c,,' s, 2 o, -3723500000L t").select(s.uuid_text(F.col("b")).alias("u"), F.hex(s.uuid_bytes(s.uuid_text(F.col("b")))).alias("h"), s.set_members(F.col("s")).alias("m"), s.enum_literal(F.col("o"), ("x", "y")).alias("e"), s.enum_ordinal(F.lit("y"), ("x", "y")).alias("n"), s.enum_ordinal(F.lit("z"), ("x", "y")).alias("z"), s.micros_text(F.col("t")).alias("t")).collect()[0]
     assert row.u == "01234567-89ab-cdef-0123-456789abcdef" and row.h.lower() == "0123456789abcdef0123456789abcdef"
     assert row.m == ["a", "c"] and row.e == "y" and row.n == 2 and row.z is None and row.t == "-01:02:03.5"
+
+
+def test_enum_names():
+    values = ("1-URGENT", "a b", "A_B", "été", "", "--", "x-é")
+    names = s.enum_names(values)
+    assert list(names.values()) == ["VALUE_1_URGENT", "A_B", "A_B_2", "U00E9T_U00E9", "VALUE", "VALUE_2", "X_U00E9"]
+    assert s.api(Kind.ENUM, 2, values) == "A_B" and s.api(Kind.SET, "a b,été", values) == ["A_B", "U00E9T_U00E9"] and s.api(Kind.ENUM, None, values) is None
+    assert s.parse(Kind.ENUM, "A_B_2", values) == "A_B" and s.parse(Kind.ENUM, "a b", values) == "a b" and s.parse(Kind.SET, ["VALUE_1_URGENT", "a b"], values) == "1-URGENT,a b"
+    with pytest.raises(s.ValueProblem):
+        s.parse(Kind.ENUM, "A_B_3", values)

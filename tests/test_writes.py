@@ -5,7 +5,8 @@ import pytest
 from lattica.functions.kinds import Kind
 from lattica.operators.execute import Engine
 from lattica.operators.mutations import Request, Rules
-from lattica.sources.catalog import Column, ForeignKey, Index, Table, build
+from lattica.plans import codecs
+from lattica.sources.catalog import Column, Filters, ForeignKey, Index, Table, build
 from lattica.sources.versions import CommitConflict, NoVersion, VersionStore
 
 
@@ -106,3 +107,64 @@ def test_by_graphql(shop):
     past = e.execute('{ categories @asOf(time: "2024-02-01T00:00:00Z") { totalCount nodes { name products { totalCount } } } }')["data"]["categories"]
     assert past["totalCount"] == 2 and past["nodes"][0]["products"]["totalCount"] == 2
     assert e.execute('{ categories @asOf(time: "2999-02-01T00:00:00Z") { totalCount } }')["errors"]
+
+
+@pytest.fixture
+def ward(spark, tmp_path):
+    """Rows of two owners under a policy, and two tables of one name in two databases, two versions old."""
+    C = Column
+    things = Table("things", (C("id", Kind.INT, nullable=False), C("owner", Kind.STRING), C("note", Kind.STRING), C("size", Kind.INT), C("area", Kind.INT, generated=True, expression="size * size")), ("id",), (Index("o", ("owner",)), Index("a", ("area",), unique=True)), database="da")
+    other = Table("things", (C("id", Kind.INT, nullable=False), C("word", Kind.STRING)), ("id",), database="db")
+    store = VersionStore(spark, f"file://{tmp_path}/ward")
+    m = store.manifest()
+    store.add_table(m, "da.things", spark.createDataFrame([(1, "me", "mine", 1), (2, "you", "hidden", 2)], "id int, owner string, note string, size int"), ("id",))
+    store.add_table(m, "db.things", spark.createDataFrame([(1, "b1")], "id int, word string"), ("id",))
+    store.commit(m, now=dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp())
+    readers = {t.key: (lambda n=f"{t.database}.things": store.read(store.manifest(), n)) for t in (things, other)}
+    catalog = build([things, other], readers)
+    roles = {"me": catalog.for_role(Filters(), {("da", "things"): lambda df: df.where("owner = 'me'")})}
+    return Engine(catalog, store, roles=roles, check_indexes=False), store
+
+
+def test_policies_hold_for_versions_and_writes(ward):
+    e, store = ward
+    all_ = "{ da { things %s { totalCount nodes { note area } } } db { things %s { nodes { word } } } }"
+    for moment in ("", '@asOf(time: "2024-02-01T00:00:00Z")'):
+        got = e.execute(all_ % (moment, moment), role="me")
+        assert got == {"data": {"da": {"things": {"totalCount": 1, "nodes": [{"note": "mine", "area": 1}]}}, "db": {"things": {"nodes": [{"word": "b1"}]}}}}
+        assert e.execute(all_ % (moment, moment))["data"]["da"]["things"]["totalCount"] == 2
+    t = e.catalog.tables["da", "things"]
+    hidden, own = codecs.node_id(t.type_name, [2]), codecs.node_id(t.type_name, [1])
+    got = e.execute(f'mutation {{ update{t.type_name}(id: "{hidden}", set: {{note: "x"}}) {{ __typename ... on Update{t.type_name}Success {{ entity {{ note }} }} }} }}', role="me")
+    assert "errors" not in got, got
+    assert got["data"][f"update{t.type_name}"]["entity"] is None and store.manifest().version == 1
+    got = e.execute(f'mutation {{ delete{t.type_name}(id: "{hidden}") {{ __typename }} }}', role="me")
+    assert got["data"][f"delete{t.type_name}"]["__typename"] == "NotFoundError" and store.manifest().version == 1
+    got = e.execute(f'mutation {{ update{t.type_name}(id: "{own}", set: {{note: "new", size: 3}}) {{ ... on Update{t.type_name}Success {{ entity {{ note area }} }} }} }}', role="me")
+    assert got["data"][f"update{t.type_name}"]["entity"] == {"note": "new", "area": 9} and store.manifest().version == 2
+    # keys hold for hidden rows too, generated ones included
+    got = e.execute(f'mutation {{ create{t.type_name}(input: {{databaseId: 2}}) {{ __typename }} }}', role="me")
+    assert got["data"][f"create{t.type_name}"]["__typename"] == "ConflictError"
+    got = e.execute(f'mutation {{ create{t.type_name}(input: {{databaseId: 5, size: 2}}) {{ __typename }} }}', role="me")
+    assert got["data"][f"create{t.type_name}"]["__typename"] == "ConflictError"
+    with pytest.raises(KeyError):
+        e.catalog.for_role(Filters(), {"nothing": lambda df: df})
+
+
+@pytest.mark.parametrize("text", ['mutation { createTag(input: {databaseId: 9}) @asOf(offsetSeconds: -10) { __typename } }', "{ categories { nodes { products @asOf(offsetSeconds: -10) { totalCount } } } }", "{ categories { nodes { ...F } } } fragment F on Category { products @asOf(offsetSeconds: -10) { totalCount } }", "query @asOf(offsetSeconds: -10) { categories { totalCount } }", "{ ... @asOf(offsetSeconds: -10) { categories { totalCount } } }"])
+def test_moments_stand_on_root_fields(shop, text):
+    catalog, store = shop
+    assert "only allowed on root" in Engine(catalog, store).execute(text)["errors"][0]["message"] and store.manifest().version == 1
+
+
+def test_writes_denied_by_pattern(shop):
+    catalog, store = shop
+    e = Engine(catalog, store, rules=Rules(deny=("ta*",), deny_columns=("products.price", "name")))
+    got = e.execute('{ m: __type(name: "Mutation") { fields { name } } p: __type(name: "UpdateProductSetInput") { inputFields { name } } }')["data"]
+    names = {f["name"] for f in got["m"]["fields"]}
+    assert "updateProduct" in names and not any("Tag" in n for n in names) and "createCategory" not in names and [f["name"] for f in got["p"]["inputFields"]] == ["categoryId", "sku"]
+    assert e.execute("mutation { deleteTag(id: \"x\") { __typename } }")["errors"]
+    r = Request(catalog, store, e.rules)
+    assert r.create("categories", {"name": "x"}).error[0] == "Permission" and r.update("products", {"databaseId": 1}, {"price": 3.0}).error[0] == "InputValidation"
+    hidden = catalog.for_role(Filters(deny_columns=("products.sku",)))
+    assert Request(hidden, store).create("products", {"categoryId": 1}).error[0] == "Permission"
