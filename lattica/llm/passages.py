@@ -8,7 +8,8 @@ different runs is split again by what all windows of a narrow range around it ha
 anchor, however common, makes a task grow without bound.
 
 Detection: a shard's runs form one text, whose suffix array and common prefixes suffix.py builds by external
-induced sorting. Suffixes that share WIDTH bytes stand together; a window is repeated if the runs in its
+induced sorting: text, arrays and queues go to files, so a task holds a batch of entries and a few numbers for each
+run, whatever the size of its shard. Those files are a worker's own and go with its shard. Suffixes that share WIDTH bytes stand together; a window is repeated if the runs in its
 group stand for two or more places. Repeated windows are mapped back to every place of their run.
 
 Edge cases: null text is empty; texts shorter than WIDTH bytes have no window; matches never cross rows;
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, env_threads, shared_dir
-from .suffix import Pool, suffix_array
+from .suffix import BATCH, Pool, suffix_array
 from .textvec import _PLAIN, U, _powers, buffers, mix, slices
 
 WIDTH, GRAM = 200, 64
 #: Most different runs of one anchor in a shard before it is split by ranges of RANGE windows, and of 1 after that.
 HOT, RANGES = 1024, (16, 1)
-#: Bytes of text of one suffix array, unless one anchor has more; bytes of one array before it goes to disk.
-SHARD, MEMORY = 2 << 20, 64 << 20
+#: Bytes of text of one suffix array, unless one anchor has more; bytes of one array, or of text, that stay in memory.
+#: Sorting a shard takes arrays of some 40 bytes for each of its own, all of them in files.
+SHARD, MEMORY = 2 << 20, 1 << 20
 SEGMENT = 1 << 20
 _RUN = "id long, k long, m long, ph long, p int, n int"
 
@@ -112,61 +114,125 @@ def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
-def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Shard:
+    """Different byte strings, each standing for a number of places: their bytes in a file beyond `memory`, a few numbers for each in memory."""
+
+    def __init__(self, memory: int):
+        self.pool = Pool(memory)
+        self.memory, self.size = memory, 0
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+        self.file = None
+        self.numbers: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Rows m, ph, n, c, piece; those that repeat the last row's m, ph and n, of which a repeated row has several, are left out."""
+        m, ph, n, c = (rows.column(k).to_numpy() for k in range(4))
+        data, off = buffers(rows.column(4))
+        new = np.concatenate(([True], (m[1:] != m[:-1]) | (ph[1:] != ph[:-1]) | (n[1:] != n[:-1])))
+        if self.numbers:
+            last = self.numbers[-1]
+            new[0] = (m[0], ph[0], n[0]) != (last[0][-1], last[1][-1], last[2][-1])
+        if not new.any():
+            return
+        size = np.diff(off)
+        self._spool(data if new.all() else data[np.repeat(new, size)])
+        self.numbers.append((m[new], ph[new], n[new], c[new], size[new]))
+
+    def _spool(self, data: np.ndarray) -> None:
+        self.size += len(data)
+        self.parts.append(data)
+        self.held += len(data)
+        if self.held > self.memory:
+            if self.file is None:
+                self.file = open(self.pool.path(), "w+b")
+            for x in self.parts:
+                self.file.write(x)
+            self.parts, self.held = [], 0
+
+    def bytes_(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint8)
+        for x in self.parts:
+            self.file.write(x)
+        self.file.flush()
+        self.parts, self.held = [], 0
+        return np.asarray(np.memmap(self.file, np.uint8, "r", shape=(self.size,)))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.pool.close()
+
+
+def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int = WIDTH, memory: int = MEMORY, pool: Pool | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of different byte strings laid end to end, each standing for `weight` places: the spans that repeated strings of `width` bytes cover, as string, start and end."""
+    if pool is None:
+        with Pool(memory) as pool:
+            return repeats(data, size, weight, width, memory, pool)
     begin = np.concatenate(([0], np.cumsum(size + 1)))
-    with Pool(memory) as pool:
-        t = pool.empty(int(begin[-1]) + 1, np.uint16)
-        body = np.ones(len(t), bool)
-        body[begin[1:] - 1] = False
-        body[-1] = False
-        t[body] = data
-        t[body] += 2  # 0 ends the text, 1 each string
-        t[begin[1:] - 1] = 1
-        sa, lcp = suffix_array(t, 258, width, pool)
-        fits = np.zeros(len(t), bool)  # where a string of `width` bytes begins
-        long = np.flatnonzero(size >= width)
-        step = np.zeros(len(t) + 1, np.int32)
-        step[begin[long]] += 1
-        step[begin[long] + size[long] - width + 1] -= 1
-        np.cumsum(step[:-1], out=step[:-1])
-        fits[step[:-1] > 0] = True
-        of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-        again = np.zeros(len(t), bool)
-        group = np.flatnonzero(np.concatenate((np.asarray(lcp) < width, [True])))
-        for a in range(0, len(group) - 1, 1 << 20):  # groups of suffixes that share `width` symbols
-            g = group[a : a + (1 << 20) + 1]
-            pos = np.asarray(sa[g[0] : g[-1]])
-            fit = np.flatnonzero(fits[pos])
-            w = np.zeros(len(pos), np.int64)
-            w[fit] = weight[of[pos[fit]]]
-            many = np.add.reduceat(w, g[:-1] - g[0]) >= 2
-            # all of a group begin alike, so either all fit or none does
-            again[pos[np.repeat(many, np.diff(g))]] = True
-    s = np.flatnonzero(again)
-    of = of[s].astype(np.int64)
-    s -= begin[of]
-    if not len(s):
-        return of, s, s
-    new = np.concatenate(([True], (s[1:] - s[:-1] > width) | (of[1:] != of[:-1])))
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
-    return of[new], s[new], s[last] + width
+    n = int(begin[-1]) + 1
+    t = pool.empty(n, np.uint16)
+    first = begin[:-1] - np.arange(len(size))  # where each string begins in data
+    for i, j in slices(begin, BATCH):  # 0 ends the text, 1 each string
+        x = np.ones(int(begin[j] - begin[i]), np.uint16)
+        inside = np.ones(len(x), bool)
+        inside[begin[i + 1 : j + 1] - begin[i] - 1] = False
+        x[inside] = data[first[i] : first[j - 1] + size[j - 1]]
+        x[inside] += 2
+        t[begin[i] : begin[j]] = x
+    sa, lcp = suffix_array(t, 258, width, pool)
+    again = pool.empty(n, bool)
+    a = 0
+    while a < n:  # groups of suffixes that share `width` symbols
+        b = min(n, a + BATCH)
+        while b < n and lcp[b] >= width:  # a group is taken whole
+            b += 1
+        pos = sa[a:b].astype(np.int64)
+        new = np.flatnonzero(lcp[a:b] < width)
+        of = np.searchsorted(begin, pos, side="right") - 1
+        inside = of < len(size)  # all but the end of the text
+        of[~inside] = 0
+        fits = inside & (pos - begin[of] + width <= size[of])
+        w = np.where(fits, weight[of], 0)
+        # all of a group begin alike, so either all fit or none does
+        many = np.add.reduceat(w, new) >= 2
+        again[pos[np.repeat(many, np.diff(np.append(new, len(pos))))]] = True
+        a = b
+    spans: list[np.ndarray] = []
+    last = np.zeros(0, np.int64)  # the span that the next block may continue: string, start, end
+    for a in range(0, n, BATCH):
+        s = np.flatnonzero(again[a : a + BATCH]) + a
+        if not len(s):
+            continue
+        of = np.searchsorted(begin, s, side="right") - 1
+        s -= begin[of]
+        new = np.concatenate(([True], (s[1:] - s[:-1] > width) | (of[1:] != of[:-1])))
+        f = np.flatnonzero(new)
+        got = np.stack([of[f], s[f], s[np.append(f[1:] - 1, len(s) - 1)] + width])
+        if len(last) and last[0] == got[0, 0] and got[1, 0] <= last[2]:
+            got[1, 0] = last[1]
+        elif len(last):
+            spans.append(last[:, None])
+        spans.append(got[:, :-1])
+        last = got[:, -1]
+    if len(last):
+        spans.append(last[:, None])
+    of, s, e = np.concatenate(spans, axis=1) if spans else np.zeros((3, 0), np.int64)
+    return of, s, e
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows m, ph, n, c, piece sorted by m, ph, n: spans for those runs that have repeated windows. Whole anchors make a shard."""
     env_threads()
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        m, ph, n, c = (rows[k].to_numpy() for k in ("m", "ph", "n", "c"))
-        new = np.concatenate(([True], (m[1:] != m[:-1]) | (ph[1:] != ph[:-1]) | (n[1:] != n[:-1])))
-        if not new.all():  # the same run again, from a repeated row
-            rows = rows.filter(pa.array(new))
-            m, ph, n, c = m[new], ph[new], n[new], c[new]
-        data, off = buffers(rows["piece"])
-        of, s, e = repeats(data, np.diff(off), c)
+    shard = _Shard(MEMORY)
+
+    def done() -> pa.RecordBatch:
+        m, ph, n, c, size = (np.concatenate(x) for x in zip(*shard.numbers, strict=True))
+        try:
+            of, s, e = repeats(shard.bytes_(), size, c, pool=shard.pool)
+        finally:
+            shard.close()
         runs = np.unique(of)
         ends = pa.array(np.append(np.searchsorted(of, runs), len(of)).astype(np.int32))
         spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
@@ -178,19 +244,18 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = b.column(0).to_numpy()
             off = buffers(b.column(4))[1]
             # as many rows as fill the shard, then to the end of their anchor
-            stop = min(b.num_rows, at + 1 + int(np.searchsorted(off[at + 1 :] - off[at], SHARD - size)))
-            if held and size >= SHARD and m[at] != held[-1].column(0)[-1].as_py():
-                yield done(pa.Table.from_batches(held))
-                held, size = [], 0
-                continue
-            if size >= SHARD:
+            stop = min(b.num_rows, at + 1 + int(np.searchsorted(off[at + 1 :] - off[at], SHARD - shard.size)))
+            if shard.size >= SHARD:
+                if m[at] != shard.numbers[-1][0][-1]:
+                    yield done()
+                    shard = _Shard(MEMORY)
+                    continue
                 other = np.flatnonzero(m[at:] != m[at])
                 stop = at + int(other[0]) if len(other) else b.num_rows
-            held.append(b.slice(at, stop - at))
-            size += int(off[stop] - off[at])
+            shard.add(b.slice(at, stop - at))
             at = stop
-    if held:
-        yield done(pa.Table.from_batches(held))
+    if shard.numbers:
+        yield done()
 
 
 def _refine(width: int):

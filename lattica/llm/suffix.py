@@ -1,4 +1,4 @@
-"""Suffix arrays with common prefixes by external induced sorting, with the largest arrays and the queues in files.
+"""Suffix arrays with common prefixes by external induced sorting, arrays and queues in files.
 
 Suffixes that start a rise after a fall (LMS) are sorted by their substrings, named, and sorted whole by
 recursion on the names; all others are induced from them, first those that begin a fall (L), in ascending
@@ -6,16 +6,17 @@ order, then those that begin a rise (S), descending. Induction runs a priority q
 first symbol: entries with equal symbols leave in the order they came, so the queue is one first-in
 first-out segment of a file for each symbol, written at the tail and read at the head. An entry is a tuple
 of position and common prefix with the entry before it; the prefix of two induced neighbours is one more
-than the least prefix between the entries that induced them.
+than the least prefix between the entries that induced them. A symbol that only one entry begins with has
+its place from the start.
 
 The queue is emptied in bulk: all segments up to the first that still misses entries leave in one batch,
 which numpy turns into the entries it induces. Common prefixes are capped, as only whether they reach the
-cap is wanted; so each takes a byte or two, and suffixes that agree that far may stand in any order. Arrays
-beyond `memory` bytes are files mapped into memory. Recursion ends with names that are all different, or few
-enough (BASE) to be ordered in memory by trebling the length that ranks stand for.
+cap is wanted; so each takes a byte or two, and suffixes that agree that far may stand in any order.
 
-Memory is still linear in the text: types, LMS positions, numbers, names and seeds are plain arrays. Shards of
-passages.py are so small that they need neither files nor recursion, which tests alone exercise.
+Every array whose length goes with the text (symbols, types, LMS positions, names, seeds, queues and their heads)
+comes from a Pool: beyond `memory` bytes it is a file mapped into memory, and is worked on BATCH entries at a time,
+so a shard may be far larger than memory. Recursion ends with names that are all different, or few enough (BASE)
+to be ordered in memory by trebling the length that ranks stand for.
 """
 
 from __future__ import annotations
@@ -26,26 +27,32 @@ import tempfile
 
 import numpy as np
 
-BATCH, BASE = 1 << 20, (1 << 21) - 2
+#: Entries worked on at a time, and names few enough for memory (at most 2^21 - 2, as three ranks make a key).
+BATCH, BASE = 1 << 18, 1 << 17
 
 
 class Pool:
-    """Arrays in memory up to a number of bytes each, else in files of a folder of its own."""
+    """Arrays in memory up to a number of bytes each, else in files of a folder of its own, which go when it is closed."""
 
-    def __init__(self, memory: int = 64 << 20):
-        self.memory, self.dir, self.n = memory, None, 0
+    def __init__(self, memory: int = 1 << 20):
+        self.memory, self.dir, self.files = memory, None, 0
+
+    def path(self) -> str:
+        if self.dir is None:
+            self.dir = tempfile.mkdtemp(prefix="lattica-sa-")
+        self.files += 1
+        return os.path.join(self.dir, str(self.files))
 
     def empty(self, n: int, dtype) -> np.ndarray:
+        """An array of zeros."""
         if n * np.dtype(dtype).itemsize <= self.memory:
             return np.zeros(n, dtype)
-        if self.dir is None:
-            self.dir = tempfile.mkdtemp(prefix="lattica-sa-")
-        self.n += 1
-        return np.memmap(os.path.join(self.dir, str(self.n)), dtype, "w+", shape=(n,))
+        return np.asarray(np.memmap(self.path(), dtype, "w+", shape=(n,)))
 
     def close(self) -> None:
         if self.dir is not None:
             shutil.rmtree(self.dir, ignore_errors=True)
+            self.dir = None
 
     def __enter__(self) -> Pool:
         return self
@@ -76,8 +83,37 @@ class _Least:
         return out
 
 
-def _offsets(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+def _blocks(n: int):
+    """Bounds of BATCH entries each."""
+    return ((a, min(n, a + BATCH)) for a in range(0, n, BATCH))
+
+
+def _offsets(counts: np.ndarray, pool: Pool) -> np.ndarray:
+    out = pool.empty(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=out[1:])
+    return out
+
+
+def _wide(n: int):
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _least_type(cap: int):
+    return np.uint8 if cap < 255 else np.uint16
+
+
+def _count(key: np.ndarray, at: np.ndarray | None, member: np.ndarray | None, sigma: int, pool: Pool) -> np.ndarray:
+    """How often each symbol stands in key, at some places or where member says."""
+    out = pool.empty(sigma, np.int64)
+    for a, b in _blocks(len(key) if at is None else len(at)):
+        x = key[a:b] if at is None else key[at[a:b]]
+        x = x[member[a:b]] if member is not None else x
+        if sigma > 4 * len(x):  # few of many symbols
+            u, c = np.unique(x, return_counts=True)
+            out[u] += c
+        else:
+            out += np.bincount(x, minlength=sigma)
+    return out
 
 
 def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, run: np.ndarray | None, sigma: int, cap: int, pool: Pool, last: int = -1) -> tuple[np.ndarray, np.ndarray | None]:
@@ -89,26 +125,27 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
     the last segment.
     """
     n = len(key)
-    counts = np.zeros(sigma, np.int64)
-    for a in range(0, n, BATCH):
-        counts += np.bincount(key[a : a + BATCH][member[a : a + BATCH]], minlength=sigma)
-    begin = _offsets(counts)
-    out = pool.empty(int(begin[-1]), np.int32 if n < 1 << 31 else np.int64)
-    small = np.uint8 if cap < 255 else np.uint16
+    counts = _count(key, None, member, sigma, pool)
+    begin = _offsets(counts, pool)
+    out = pool.empty(int(begin[-1]), _wide(n))
+    small = _least_type(cap)
     top = small(255 if cap < 255 else 65535)
     lcps = pool.empty(int(begin[-1]), small) if seed_lcp is not None else None
-    fill = np.zeros(sigma, np.int64)
+    fill = pool.empty(sigma, np.int64)
     if last >= 0:
         out[-1] = last
         fill[-1] = 1
-    # numbers of seeds before each symbol, without holding all keys
-    seed_counts = np.zeros(sigma, np.int64)
-    for a in range(0, len(seeds), BATCH):
-        seed_counts += np.bincount(key[seeds[a : a + BATCH]], minlength=sigma)
-    seed_begin = _offsets(seed_counts)
-    since = np.zeros(sigma, small)  # least prefix after the last entry that induced into each segment
+    seed_begin = _offsets(_count(key, seeds, None, sigma, pool), pool)
+    since = pool.empty(sigma, small)  # least prefix after the last entry that induced into each segment
     live = np.zeros(0, np.int64)  # where `since` is not 0: only while one symbol lasts
-    missing = counts - fill
+    shared = pool.empty(sigma, bool)  # symbols whose members wait for their turn
+    np.greater(counts, 1, out=shared)
+    for a, b in _blocks(n):
+        alone = np.flatnonzero(member[a:b] & ~shared[key[a:b]]) + a
+        out[begin[key[alone]]] = alone
+        fill[key[alone]] = 1
+    missing = pool.empty(sigma, np.int64)
+    np.subtract(counts, fill, out=missing)
 
     def fade(least: int) -> None:
         nonlocal live
@@ -120,40 +157,49 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
 
     def leave(pos: np.ndarray, lcp: np.ndarray | None) -> None:
         nonlocal live
-        at = np.flatnonzero(pos > 0)
-        at = at[member[pos[at] - 1]]
-        if not len(at):
-            if lcp is not None and len(lcp) and len(live):
-                fade(int(lcp.min()))
-            return
+        at = np.flatnonzero(pos)
         q = pos[at] - 1
         d = key[q]
+        keep = np.flatnonzero(member[q] & shared[d])
+        if not len(keep):
+            if lcp is not None and len(live):
+                fade(int(lcp.min()))
+            return
+        d = d[keep]
         order = np.argsort(d, kind="stable")
-        d, q, at = d[order], q[order], at[order]
-        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        d, keep = d[order], keep[order]
+        q, at = q[keep], at[keep]
+        m = len(d)
+        new = np.empty(m, bool)
+        new[0] = True
+        np.not_equal(d[1:], d[:-1], out=new[1:])
+        first = np.flatnonzero(new)
         group = d[first]
-        size = np.diff(np.append(first, len(d)))
-        to = np.repeat(begin[group] + fill[group] - first, size) + np.arange(len(d))
+        size = np.empty(len(first), np.int64)
+        np.subtract(first[1:], first[:-1], out=size[:-1])
+        size[-1] = m - first[-1]
+        before = fill[group]
+        to = np.repeat(begin[group] + before - first, size) + np.arange(m)
         out[to] = q
         if lcp is not None:
-            v = np.empty(len(d), small)
-            inner = np.ones(len(d), bool)
-            inner[first] = False
-            k = np.flatnonzero(inner)
+            v = np.empty(m, small)
+            k = np.flatnonzero(~new)
             if len(k):
                 v[k] = _Least(lcp).of(at[k - 1] + 1, at[k])
             v[first] = np.minimum(since[group], np.minimum.accumulate(lcp)[at[first]])
             v = np.minimum(v, cap - 1) + small(1)
-            v[first[fill[group] == 0]] = 0
+            v[first[before == 0]] = 0
             lcps[to] = v
-            ends = at[first + size - 1]
-            least = int(lcp.min())
-            fade(least)
-            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], top)[ends + 1]
+            fade(int(lcp.min()))
+            rest = np.empty(len(lcp) + 1, small)
+            rest[-1] = top
+            np.minimum.accumulate(lcp[::-1], out=rest[-2::-1])
+            after = rest[at[first + size - 1] + 1]
             since[group] = after
             stays = group[after > 0]
-            live = np.union1d(live, stays) if len(live) else stays
-        fill[group] += size
+            if len(stays):
+                live = np.union1d(live, stays) if len(live) else stays
+        fill[group] = before + size
         missing[group] -= size
 
     c, read = 0, 0
@@ -163,7 +209,7 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
             b = min(b, a + BATCH)
             if a == b:
                 raise RuntimeError("a segment of the queue stays short")
-            leave(np.array(out[a:b]), np.array(lcps[a:b]) if lcps is not None else None)
+            leave(out[a:b].astype(np.int64), np.array(lcps[a:b]) if lcps is not None else None)
             read = b - int(begin[c])
             continue
         y, step = c + 1, 256
@@ -176,12 +222,13 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
             y += got
             if got < len(part):
                 break
+            step = min(2 * step, BATCH)
         lo, hi, slo, shi = int(begin[c]) + read, int(begin[y]), int(seed_begin[c]), int(seed_begin[y])
         if y == c + 1:  # one segment may be larger than a batch
             for a in range(lo, hi, BATCH):
-                leave(np.array(out[a : min(hi, a + BATCH)]), np.array(lcps[a : min(hi, a + BATCH)]) if lcps is not None else None)
+                leave(out[a : min(hi, a + BATCH)].astype(np.int64), np.array(lcps[a : min(hi, a + BATCH)]) if lcps is not None else None)
             for a in range(slo, shi, BATCH):
-                s = np.array(seeds[a : min(shi, a + BATCH)])
+                s = seeds[a : min(shi, a + BATCH)].astype(np.int64)
                 l = None
                 if lcps is not None:
                     l = np.array(seed_lcp[a : min(shi, a + BATCH)])
@@ -189,7 +236,7 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
                         l[0] = min(int(run[out[hi - 1]]), int(run[s[0]])) if hi > begin[c] else 0
                 leave(s, l)
         elif hi > lo or shi > slo:
-            m, s = np.array(out[lo:hi]), np.array(seeds[slo:shi])
+            m, s = out[lo:hi].astype(np.int64), seeds[slo:shi].astype(np.int64)
             km, ks = key[m], key[s]
             at_m = np.arange(len(m)) + np.searchsorted(ks, km, side="left")
             at_s = np.arange(len(s)) + np.searchsorted(km, ks, side="right")
@@ -273,86 +320,142 @@ def _treble(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
+def _types(t: np.ndarray, cap: int, pool: Pool) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix rises (S type, by the next symbol that differs), and how often its first symbol repeats, capped."""
+    n = len(t)
+    rise, run = pool.empty(n, bool), pool.empty(n, _least_type(cap))
+    rise[-1], run[-1] = True, 1
+    end, up = n - 1, True  # of the block after: where its first symbol ends, and its type
+    for a, b in reversed(list(_blocks(n - 1))):
+        x = np.array(t[a : b + 1])
+        at = np.arange(a, b)
+        at[x[:-1] == x[1:]] = n
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        within = at < n
+        r = np.empty(b - a, bool)
+        i = at[within] - a
+        r[within] = x[i] < x[i + 1]
+        r[~within] = up
+        at[~within] = end
+        rise[a:b] = r
+        run[a:b] = np.minimum(at - np.arange(a, b) + 1, cap)
+        end, up = int(at[0]), bool(r[0])
+    return rise, run
+
+
+def _names(t: np.ndarray, order: np.ndarray, lms: np.ndarray, number: np.ndarray, pool: Pool) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings by position, from their order; and how many there are."""
+    m = len(lms)
+    reduced, name = pool.empty(m, _wide(m)), -1
+
+    def length(k: np.ndarray) -> np.ndarray:
+        return np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)].astype(np.int64) - lms[k] + 1, 1)
+
+    before = None
+    for a, b in _blocks(m):
+        x = order[a:b].astype(np.int64)
+        k = number[x].astype(np.int64)
+        size = length(k)
+        p = np.concatenate(([x[0]], x[:-1])) if before is None else np.concatenate(([before[0]], x[:-1]))
+        s = np.concatenate(([-1 if before is None else before[1]], size[:-1]))
+        equal = size == s
+        live, off = np.flatnonzero(equal), 0
+        while len(live):
+            ok = t[p[live] + off] == t[x[live] + off]
+            equal[live[~ok]] = False
+            off += 1
+            live = live[ok]
+            live = live[off < size[live]]
+        own = name + np.cumsum(~equal)
+        reduced[k] = own
+        name, before = int(own[-1]), (int(x[-1]), int(size[-1]))
+    return reduced, name + 1
+
+
 def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of t (symbols below sigma; the last is 0 and occurs once) and common prefixes with the suffix before, capped."""
     n = len(t)
-    small = np.uint8 if cap < 255 else np.uint16
+    small, wide = _least_type(cap), _wide(n)
     if n == 1:
         return np.zeros(1, np.int32), np.zeros(1, small)
-    rise = np.empty(n, bool)  # S type: by the next symbol that differs
-    differs = t[:-1] != t[1:]
-    wide = np.int32 if n < 1 << 31 else np.int64
-    at = np.arange(n - 1, dtype=wide)
-    at[~differs] = n
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    rise[:-1] = (t[:-1] < t[1:])[at]
-    rise[-1] = True
-    run = np.ones(n, small)
-    at -= np.arange(n - 1, dtype=wide)
-    longer = np.flatnonzero(at)
-    run[longer] = np.minimum(at[longer] + 1, cap)
-    lms = np.flatnonzero(rise[1:] & ~rise[:-1]) + 1
-    del at, differs
-    fall = ~rise
-    mirrored = t.dtype.type(sigma - 1) - t
-
-    # order of LMS substrings
-    seeds = lms[np.argsort(t[lms], kind="stable")]
+    rise, run = _types(t, cap, pool)
+    fall, mirrored, is_lms = pool.empty(n, bool), pool.empty(n, t.dtype), pool.empty(n, bool)
+    m = 0
+    for a, b in _blocks(n):
+        np.logical_not(rise[a:b], out=fall[a:b])
+        np.subtract(t.dtype.type(sigma - 1), t[a:b], out=mirrored[a:b])
+        is_lms[a:b] = rise[a:b]
+        is_lms[max(a, 1) : b] &= ~rise[max(a, 1) - 1 : b - 1]
+        if a == 0:
+            is_lms[0] = False
+        m += int(np.count_nonzero(is_lms[a:b]))
+    lms, number, seeds = pool.empty(m, wide), pool.empty(n, wide), pool.empty(m, wide)
+    done = 0
+    for a, b in _blocks(n):
+        x = np.flatnonzero(is_lms[a:b]) + a
+        lms[done : done + len(x)] = x
+        number[x] = np.arange(done, done + len(x))
+        done += len(x)
+
+    # order of LMS substrings, from that of their first symbols
+    at = _offsets(_count(t, lms, None, sigma, pool), pool)
+    for a, b in _blocks(m):
+        x = np.array(lms[a:b])
+        k = t[x]
+        o = np.argsort(k, kind="stable")
+        k, x = k[o], x[o]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(first, len(k)))
+        seeds[np.repeat(at[k[first]] - first, size) + np.arange(len(k))] = x
+        at[k[first]] += size
     down, _ = induce(t, fall, seeds, None, None, sigma, cap, pool)
     up, _ = induce(mirrored, rise, down[::-1], None, None, sigma, cap, pool, last=n - 1)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = np.concatenate([x[is_lms[x]] for x in (np.array(up[a : a + BATCH]) for a in range(0, len(up), BATCH))])[::-1].astype(np.int64)
-    del down, up, seeds
-    number = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
-    number[lms] = np.arange(len(lms))
-    length = np.append(np.diff(lms) + 1, 1)
-    size = length[number[order]]
-    a, b = order[:-1], order[1:]
-    same = size[:-1] == size[1:]
-    k = np.flatnonzero(same)
-    off = np.zeros(len(k), np.int64)
-    live = np.arange(len(k))
-    equal = np.ones(len(k), bool)
-    while len(live):
-        ok = t[a[k[live]] + off[live]] == t[b[k[live]] + off[live]]
-        equal[live[~ok]] = False
-        live = live[ok]
-        off[live] += 1
-        live = live[off[live] < size[k[live]]]
-    new = np.ones(len(order), np.int64)
-    new[1:][k[equal]] = 0
-    names = np.cumsum(new) - 1
-    distinct = int(names[-1]) + 1
-    if distinct < len(lms):
-        reduced = np.empty(len(lms), np.int32 if len(lms) < 1 << 31 else np.int64)
-        reduced[number[order]] = names
-        sub, sub_lcp = _treble(reduced, cap) if len(lms) <= base else suffix_array(reduced, distinct, cap, pool, base)
-        sub = np.asarray(sub).astype(np.int64)
-        seeds = lms[sub]
-        known = np.asarray(sub_lcp).astype(np.int64)
-        reach = lms[np.minimum(sub + known, len(lms) - 1)] - lms[sub]
-        reach[0] = 0
+    order, done = pool.empty(m, wide), 0
+    for a, b in reversed(list(_blocks(len(up)))):
+        x = up[a:b][::-1]
+        x = x[is_lms[x]]
+        order[done : done + len(x)] = x
+        done += len(x)
+    reduced, distinct = _names(t, order, lms, number, pool)
+
+    seed_lcp = pool.empty(m, small)
+    if distinct < m:
+        sub, known = _treble(np.array(reduced), cap) if m <= base else suffix_array(reduced, distinct, cap, pool, base)
+        for a, b in _blocks(m):
+            seeds[a:b] = lms[sub[a:b]]
     else:
-        seeds, reach = order, np.zeros(len(order), np.int64)
-    seed_lcp = np.zeros(len(seeds), small)
-    seed_lcp[1:] = _compare(t, seeds[:-1], seeds[1:], reach[1:], cap)
+        sub, known, seeds = None, None, order
+    for a, b in _blocks(m):
+        lo = max(a, 1)
+        if lo >= b:
+            continue
+        x, y = seeds[lo - 1 : b - 1].astype(np.int64), seeds[lo:b].astype(np.int64)
+        reach = np.zeros(b - lo, np.int64)
+        if sub is not None:
+            k = sub[lo:b].astype(np.int64)
+            reach = lms[np.minimum(k + known[lo:b], m - 1)].astype(np.int64) - lms[k]
+        seed_lcp[lo:b] = _compare(t, x, y, reach, cap)
 
     # all suffixes
     down, down_lcp = induce(t, fall, seeds, seed_lcp, run, sigma, cap, pool)
-    back = np.zeros(len(down), small)
+    back = pool.empty(len(down), small)
     back[1:] = down_lcp[:0:-1]
     up, up_lcp = induce(mirrored, rise, down[::-1], back, run, sigma, cap, pool, last=n - 1)
-    falls, rises = np.bincount(t[fall], minlength=sigma), np.bincount(t[rise], minlength=sigma)
-    sa, lcp = pool.empty(n, down.dtype), pool.empty(n, small)
-    place_down = np.arange(len(down), dtype=wide) + np.repeat(_offsets(rises)[:-1].astype(wide), falls)
-    place_up = np.arange(len(up), dtype=wide) + np.repeat(_offsets(falls)[1:].astype(wide), rises)
-    sa[place_down], lcp[place_down] = down, down_lcp
-    sa[place_up] = up[::-1]
-    l = np.zeros(len(up), small)
-    l[1:] = up_lcp[:0:-1]
-    lcp[place_up] = l
-    both = np.flatnonzero((falls > 0) & (rises > 0))
-    edge = (_offsets(falls + rises)[:-1] + falls)[both]
-    lcp[edge] = np.minimum(run[sa[edge - 1]], run[sa[edge]])
+    falls, rises = _count(t, None, fall, sigma, pool), _count(t, None, rise, sigma, pool)
+    falls_to, rises_to = _offsets(falls, pool), _offsets(rises, pool)
+    sa, lcp = pool.empty(n, wide), pool.empty(n, small)
+    for a, b in _blocks(len(down)):
+        x = np.array(down[a:b])
+        place = np.arange(a, b) + rises_to[t[x]]
+        sa[place], lcp[place] = x, down_lcp[a:b]
+    last = len(up)
+    for a, b in _blocks(last):
+        x = up[last - b : last - a][::-1]
+        place = np.arange(a, b) + falls_to[t[x].astype(np.int64) + 1]
+        sa[place] = x
+        lcp[place[max(1 - a, 0) :]] = up_lcp[last - b + 1 : last - max(a, 1) + 1][::-1]
+    for a, b in _blocks(sigma):  # where the rising suffixes of a symbol follow the falling ones
+        k = np.flatnonzero((falls[a:b] > 0) & (rises[a:b] > 0)) + a
+        edge = falls_to[k] + rises_to[k] + falls[k]
+        lcp[edge] = np.minimum(run[sa[edge - 1]], run[sa[edge]])
     return sa, lcp

@@ -140,3 +140,59 @@ def test_long_rows_in_segments(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["id", "k", "t"])
     whole = sorted((p + i) for b in passages._find_runs(iter([batch])) for p, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True) for i in range(n))
     assert whole == list(range(len(text) - passages.WIDTH + 1))
+
+
+def test_repeats_come_through_files_and_recursion(spark, monkeypatch):
+    """What cut() finds in shards above the bound of memory: arrays are files, names are sorted by recursion, and no file stays."""
+    import os
+    import tempfile
+
+    rng = random.Random(21)
+    shared = prose(rng, 300, 10**6)
+    rows = [(i, prose(rng, 9000, 10**6) + " " + shared + " " + prose(rng, 9000, 10**6)) for i in range(14)]
+    import pyarrow as pa
+
+    pieces = sorted((7, i, len(t) - passages.WIDTH + 1, 1, t.encode()) for i, t in rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*pieces, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["m", "ph", "n", "c", "piece"])
+    assert sum(len(x[4]) for x in pieces) > 1.5 * passages.MEMORY
+    depths, files = [], []
+    plain, closed = suffix.suffix_array, suffix.Pool.close
+
+    def sorted_(t, sigma, cap, pool, base=suffix.BASE):
+        depths.append(len(t))
+        return plain(t, sigma, cap, pool, base)
+
+    def close(pool):
+        files.append((pool.files, pool.dir))
+        closed(pool)
+
+    monkeypatch.setattr(suffix, "suffix_array", sorted_)
+    monkeypatch.setattr(passages, "suffix_array", sorted_)
+    monkeypatch.setattr(suffix.Pool, "close", close)
+    got = [r for b in passages._search(iter([batch])) for r in b.to_pylist()]
+    assert len(depths) >= 2 and depths[0] > depths[1] > suffix.BASE  # names were sorted by the same function
+    assert files[0][0] > 20 and files[0][1].startswith(tempfile.gettempdir()) and not os.path.exists(files[0][1])
+    spans = {r["ph"]: [(x["s"], x["e"]) for x in r["spans"]] for r in got}
+    for i, t in rows:  # the shared words, and what texts may have in common next to them
+        (s, e), at = spans[i][0], t.index(shared)
+        assert len(spans[i]) == 1 and at - 8 <= s <= at and at + len(shared) <= e <= at + len(shared) + 8
+    # and the whole operator agrees with windows counted one by one, with next to nothing in memory
+    monkeypatch.undo()
+    monkeypatch.setattr(passages, "BATCH", 97)
+    text = np.frombuffer(b"".join(x[4] for x in pieces[:2]), np.uint8)[:30000]
+    parts = [text[:9000], text[4000:9500], text[9000:20000], text[19000:]]
+    size = np.array([len(x) for x in parts])
+    few = passages.repeats(np.concatenate(parts), size, np.array([1, 1, 1, 1]), memory=100)
+    seen = {}
+    for x in parts:
+        for p in range(len(x) - 199):
+            seen[bytes(x[p : p + 200])] = seen.get(bytes(x[p : p + 200]), 0) + 1
+    for k, x in enumerate(parts):
+        hit = np.zeros(len(x), bool)
+        for p in range(len(x) - 199):
+            if seen[bytes(x[p : p + 200])] > 1:
+                hit[p : p + 200] = True
+        mine = np.zeros(len(x), bool)
+        for _, s, e in [z for z in zip(*few, strict=True) if z[0] == k]:
+            mine[s:e] = True
+        assert (mine == hit).all()
