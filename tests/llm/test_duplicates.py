@@ -37,8 +37,11 @@ def groups(rows, k, percent):
 
 @pytest.mark.parametrize("block, k, percent", [(500, 4, 80), (3, 4, 80), (500, 5, 80), (4, 2, 60)])
 def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, block, k, percent):
-    """Small blocks take the path of families cut in several blocks."""
+    """Small blocks take the path of families cut in several blocks, all with lists."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    if block < 500:
+        monkeypatch.setattr(neardup, "TILE_ROWS", block)
+        monkeypatch.setattr(neardup, "FEW", 0)
     rows = documents()
     got = neardup.near_duplicates(frame(spark, rows), k=k, percent=percent).collect()
     want = groups(rows, k, percent)
@@ -63,6 +66,8 @@ def test_needed_matches():
 def test_large_family_in_blocks(spark, monkeypatch):
     """A family of many blocks and two groups that only a pair across blocks can join."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 7)
+    monkeypatch.setattr(neardup, "FEW", 3)
     rng = random.Random(5)
     base = prose(rng, 60).split()
     rows = []
@@ -196,3 +201,44 @@ def test_repeats_come_through_files_and_recursion(spark, monkeypatch):
         for _, s, e in [z for z in zip(*few, strict=True) if z[0] == k]:
             mine[s:e] = True
         assert (mine == hit).all()
+
+
+def test_lists_name_all_that_reach_the_threshold():
+    """Candidates by prefix and skip merging against counting all coordinates of all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 31, neardup.SIZE)
+    sig = np.where(rng.random((300, neardup.SIZE)) < rng.uniform(0.3, 1, (300, 1)), base, rng.integers(0, 1 << 31, (300, neardup.SIZE))).astype(np.int32)
+    t = pa.table({"id": np.arange(300), "n": np.full(300, 50), "label": np.arange(300), "text": [""] * 300, "sig": pa.array(list(sig), pa.list_(pa.int32()))})
+    b = neardup._Block(t, 4, 80, neardup.needed())
+    for a in range(300):
+        at, count = b.candidates(a, np.ones(300, bool))
+        want = (sig == sig[a]).sum(1)
+        want[a] = 0
+        assert sorted(at) == list(np.flatnonzero(want >= neardup.needed())) and (count == want[at]).all()
+
+
+def test_a_large_family_without_links(spark):
+    """Ten thousand pages of one template, none within the threshold of another but for planted pairs: each goes to a few tiles, in bounded time."""
+    import time
+
+    rng = random.Random(6)
+    base = prose(rng, 129, 10**9)
+    rows = [(i, f"{base} {prose(rng, 72, 10**9)}") for i in range(10_000)]
+    for i in range(0, 10_000, 500):
+        rows[i + 499] = (i + 499, rows[i][1].rsplit(" ", 3)[0] + " a b c")
+    began = time.time()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert time.time() - began < 240
+    assert {r.doc_id: r.component_id for r in got if r.component_id != r.doc_id} == {i + 499: i for i in range(0, 10_000, 500)}
+
+
+def test_rows_that_repeat_an_id(spark):
+    """One id with two texts has the links of both, so what is near either is one group."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60, 10**6) for _ in range(3))
+    near = lambda t: "x " + t
+    rows = [(7, a), (7, b), (1, near(a)), (3, near(b)), (9, c), (9, c), (4, near(c)), (5, b), (8, "short"), (8, None), (6, "alone here")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), k=4).collect())
+    assert got == [(1, 1, True), (3, 1, False), (4, 4, True), (5, 1, False), (6, 6, True), (7, 1, False), (7, 1, False), (8, 8, True), (8, 8, True), (9, 4, False), (9, 4, False)]
