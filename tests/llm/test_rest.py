@@ -303,3 +303,46 @@ def test_licenses(spark):
     mit, gpl = ("MIT", "inherited", "a"), ("GPL-3.0", "inherited", "a/c")
     assert got == {0: ("MIT", "own", None), 1: mit, 2: ("Apache-2.0", "own", None), 3: mit, 4: ("GPL-3.0", "own", None), 5: gpl, 6: (None, "none", None), 7: (None, "none", None), 8: gpl, 9: (None, "none", None)}
     assert licenses.scan(df.where("false"), F.col("path"), F.lit(False)).count() == 0
+
+
+_APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+_GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+"""
+
+
+def test_license_files_tags_and_rows_without_ids(spark):
+    """Whole licence files, openings of long ones, SPDX tags of known and unknown licenses, null and repeated ids."""
+    whole = dict((n, t) for n, t in licenses.TEMPLATES if len(t) > 400)
+    prose_ = "Some words about nothing in particular."
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020 Some Holder\n\n" + whole["MIT"], "MIT"),
+        (2, "b/LICENSE", "Copyright 2020 Holder.\n" + whole["BSD-2-Clause"], "BSD-2-Clause"),
+        (3, "c/LICENSE", "Copyright 2020 Holder.\n" + whole["BSD-3-Clause"], "BSD-3-Clause"),
+        (4, "d/LICENSE", "Copyright (c) 2021, Holder\n\n" + whole["ISC"], "ISC"),
+        (5, "e/LICENSE", _APACHE + prose_ * 50, "Apache-2.0"), (6, "f/COPYING", _GPL + prose_ * 50, "GPL-3.0"),
+        (7, "g/x.c", "/* SPDX-License-Identifier: MIT */\nint main;", "MIT"), (8, "g/y.c", "// SPDX-License-Identifier: Apache-2.0\n" + prose_, "Apache-2.0"), (9, "g/z.c", "# SPDX-License-Identifier: Foo-1.3\n", "Foo-1.3"),
+        (None, "h/LICENSE", "Released under the MIT License.", "MIT"), (None, "i/LICENSE", "Licensed under CC BY 4.0.", "CC-BY-4.0"), (None, "h/a.py", prose_, "MIT"),
+        (10, "j/LICENSE", "Licensed under the Apache License, Version 2.0.", "Apache-2.0"), (10, "k/LICENSE", "This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), (10, "k/b.py", None, "GPL-2.0"),
+        (11, "l/long.txt", prose_ + " " + prose(random.Random(1), 30_000) + "\nReleased under the MIT License.\n" + prose(random.Random(2), 30_000), "MIT"), (12, "m/none.txt", prose_, None),
+    ]
+    df = spark.createDataFrame([(i, p, t, p) for i, p, t, _ in rows], "doc_id long, path string, text string, _row string")
+    got = licenses.scan(df, F.col("path"), F.col("path").rlike("LICENSE|COPYING")).collect()
+    assert sorted((r.path, r.license) for r in got) == sorted((p, want) for _, p, _, want in rows)
+    assert all((r.doc_id, r.path) in {(i, p) for i, p, _, _ in rows} for r in got)
+    more = licenses.scan(df.limit(1), F.col("path"), F.lit(True), templates=(("Own-1", "a wholly different licence text of our own"),)).collect()
+    assert more[0].license is None
