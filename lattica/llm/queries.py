@@ -17,7 +17,7 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the default weights: doc_id, size, source_size, target, taken."""
     docs = read(spark, sf_dir, "documents")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.mix(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
