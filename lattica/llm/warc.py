@@ -13,6 +13,9 @@ lost executors and repeated attempts leave neither gaps nor repeats.
 Payloads equal to an earlier one are written as revisit records (identical-payload-digest): HTTP headers
 only, with the digest and the record they refer to.
 
+Of equal payloads the row with the smallest id is the response, of rows that repeat that id one; rows without an id
+come after all others, and a revisit to one names its record alone. Each row has a record id of its own.
+
 Edge cases: a null payload is empty; a null URL or id leaves its header out; line breaks in a URL are
 percent-encoded; truncated archives give the records before the damage, and an error only with
 option strict; an empty folder or table gives no rows.
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from .common import Scratch
 from .store import Store
 
 SCHEMA = "record_type string, record_id string, page_id long, target_uri string, date string, payload_digest string, payload_bytes long, refers_to_record string, refers_to long, content_length long, payload binary, file string, offset long"
@@ -83,7 +87,9 @@ def record(row: dict, date: str = DATE) -> bytes:
         if row.get(key) is not None:
             head += _field(name, row[key])
     if revisit:
-        head += _field("WARC-Profile", PROFILE) + _field("WARC-Refers-To", row["refers_to_record"]) + _field("X-Refers-To-Page-ID", row["refers_to"])
+        head += _field("WARC-Profile", PROFILE) + _field("WARC-Refers-To", row["refers_to_record"])
+        if row["refers_to"] is not None:
+            head += _field("X-Refers-To-Page-ID", row["refers_to"])
     return head + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -394,21 +400,25 @@ def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path)
 
 
-def _urn(ident) -> F.Column:
-    h = F.md5(F.coalesce(ident.cast("string"), F.lit("")))
+def _urn(ident, row) -> F.Column:
+    h = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit("/"), row.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """Rows for the writer. Of equal payloads of `least` bytes or more the smallest id is the response; those without an id stay responses if no row has one."""
+    """Rows for the writer. Of equal payloads of `least` bytes or more the smallest id is the response, others are revisits."""
+    scratch = Scratch(pages.sparkSession, "warc-rows")
     body = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"), body.alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
+    # digests are taken, and rows numbered, once: what counts digests reads no payload
+    rows = scratch.keep(rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").alias("size"), F.monotonically_increasing_id().alias("row")), "rows")
     # only payloads that occur again: sizes stay small where copies are rare, and counting comes before any join
-    again = rows.where(F.octet_length("payload") >= least).groupBy(F.col("payload_digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("payload_digest", "first")
-    rows = rows.join(again, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
-    return rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), _urn(F.col("page_id")).alias("record_id"), "page_id", "target_uri", "payload_digest", F.when(revisit, _urn(F.col("first"))).alias("refers_to_record"), F.when(revisit, F.col("first")).alias("refers_to"), "payload")
+    place = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row")
+    again = rows.where(F.col("size") >= least).groupBy("payload_digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("payload_digest", "first")
+    # kept as a table, so that the join can split a common digest
+    rows = rows.join(scratch.keep(again, "again"), "payload_digest", "left")
+    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
+    return rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), _urn(F.col("page_id"), F.col("row")).alias("record_id"), "page_id", "target_uri", "payload_digest", F.when(revisit, _urn(F.col("first.page_id"), F.col("first.row"))).alias("refers_to_record"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), "payload")
 
 
 def write_warc(records_: DataFrame, path: str, level: int = 6) -> None:
