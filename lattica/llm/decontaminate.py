@@ -4,8 +4,9 @@
    words in more than COMMON of them weigh nothing (each item keeps its RAREST words at least).
 2. Documents become passages: windows of WINDOW words, half overlapping, as sparse TF-IDF rows.
 3. A randomised SVD runs over all passages: each task multiplies its rows by a block of random, then
-   orthonormal, columns and back (A^T A Q), rows of the product are summed by word, and the driver, which holds
-   words x rank numbers only, factors the sum. The benchmark's own rows take part with half of the total
+   orthonormal, columns and back (A^T A Q), rows of the product are summed by word, and the driver factors the
+   sum. Items are taken BLOCK windows at a time, over those windows' words, so the driver holds BLOCK * WINDOW words
+   times BLOCK + EXTRA numbers at most, whatever the benchmark. The benchmark's own rows take part with half of the total
    weight, so no item drops out of the latent space, whose rank is at least a block's number of items.
 4. Items become passages too: one of all words up to WINDOW, windows like the documents' above. Those and the
    documents' passages are compared by cosine there, in blocks; pairs at COSINE or above are candidates.
@@ -16,7 +17,8 @@
    passage covers VERBATIM of the item, or PARAPHRASE of it while ANSWER of the words of the item's answer (its
    last sentence) occur there too.
 
-Items are taken CHUNK at a time, so what the driver holds and sends is bounded for any benchmark.
+Texts are read for CHUNK items (or CHUNK_CHARS of their text) at a time, so what the driver holds and sends is
+bounded for any benchmark but for a single item's text; each block of windows is searched before the next.
 
 Edge cases: null or empty texts have no passage; a passage without weighted words has a cosine of 0; an item of
 a few words is found wherever PARAPHRASE of them stand in order about a passage, as step 5 says; items that are null or without words match nothing; rows that
@@ -38,7 +40,7 @@ from .common import Scratch, env_threads, partitions
 from .textvec import NOT_ALNUM, U, Words, buffers, slices
 
 WINDOW, COMMON, RAREST = 64, 0.02, 4
-CHUNK, BLOCK, EXTRA = 8192, 256, 8
+CHUNK, CHUNK_CHARS, BLOCK, EXTRA = 8192, 32 << 20, 256, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.7, 0.6, 0.8
 LEAST, SHARE = 4, 8
 _BITS = 20
@@ -110,6 +112,8 @@ class Needed:
         i, j = np.flatnonzero(ok), last[ok]
         ok = (doc[i] == doc[j]) & (item[i] == item[j]) & (half[j] - half[i] <= 2 * self.reach[item[i]] + 1)
         i, j = i[ok], j[ok]
+        if not len(i):
+            return i, i, i
         lo = np.maximum(0, half[j] - 1 - self.reach[item[i]])
         hi = np.minimum(half[i] + self.reach[item[i]], (of[doc[i] + 1] - of[doc[i]] - 1) // (WINDOW // 2))
         # passages of one document and item are given once: ranges begin where the last ended, as both ends rise
@@ -204,32 +208,40 @@ def passages(p: pa.ListArray, w: pa.ListArray, weight: np.ndarray) -> tuple[np.n
     return doc[word][first], win[word][first], bound, col[word], v / np.maximum(np.repeat(size, np.diff(bound)), 1e-30)
 
 
-def _rows(b: pa.RecordBatch, weight: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Passages of a batch of postings, some documents at a time."""
+def _rows(b: pa.RecordBatch, weight: np.ndarray, local: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Passages of a batch of postings, some documents at a time, as bounds, columns and values: of unit length over all words, then cut to those that `local` numbers."""
     for at in range(0, b.num_rows, 2000):
         part = b.slice(at, 2000)
-        doc, *rest = passages(part.column(2), part.column(3), weight)
-        yield doc + at, *rest
+        _, _, bound, col, v = passages(part.column(2), part.column(3), weight)
+        yield _cut(bound, local[col], v)[1:]
 
 
-def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
-    """A^T A q over all passages, and the squared length of A: tasks give rows by word, which are summed by word before they reach the driver."""
+def _cut(bound: np.ndarray, col: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which passages have a column that is not -1, and bounds, columns and values of those."""
+    keep = col >= 0
+    n = np.add.reduceat(keep.astype(np.int64), bound[:-1]) if len(col) else np.zeros(0, np.int64)
+    return np.flatnonzero(n), np.concatenate(([0], np.cumsum(n[n > 0]))), col[keep], v[keep]
+
+
+def _normal(postings: DataFrame, weight: np.ndarray, local: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """A^T A q over all passages, and how many they are: tasks give rows by word, which are summed by word before they reach the driver."""
     sc = postings.sparkSession.sparkContext
-    sent = sc.broadcast((weight, q.astype(np.float32)))
+    sent = sc.broadcast((weight, local, q.astype(np.float32)))
     wide = q.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         env_threads()
-        weight, q = sent.value
+        weight, local, q = sent.value
         out = np.zeros(q.shape, np.float32)
-        rows, alone = 0, np.zeros(len(weight), np.int64)
+        rows, alone = 0, np.zeros(len(q), np.float64)
         for b in batches:
-            for doc, _, bound, col, v in _rows(b, weight):
-                if not len(doc):
-                    continue
-                rows += len(doc)
+            for bound, col, v in _rows(b, weight, local):
                 n = np.diff(bound)
-                alone += np.bincount(col[bound[:-1][n == 1]], minlength=len(alone))  # one word: the product is its own row
+                if not len(n):
+                    continue
+                rows += len(n)
+                one = bound[:-1][n == 1]
+                alone += np.bincount(col[one], v[one] ** 2, minlength=len(alone))  # one word: the product is its own row
                 more = np.repeat(n > 1, n)
                 n, col, v = n[n > 1], col[more], v[more].astype(np.float32)[:, None]
                 if not len(n):
@@ -240,7 +252,7 @@ def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.
                 first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
                 row = np.repeat(np.arange(len(n)), n)[o]
                 out[c[first]] += np.add.reduceat(v[o] * z[row], first, axis=0)
-        out += alone[:, None] * q
+        out += (alone[:, None] * q).astype(np.float32)
         has = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1), pa.int32()), pa.array([*(out[c].tobytes() for c in has), np.float64(rows).tobytes()], pa.binary())], ["w", "v"])
 
@@ -253,7 +265,7 @@ def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["w", "v"])
 
     got = postings.mapInArrow(multiply, "w int, v binary").repartition(partitions(postings.sparkSession), "w").mapInArrow(add, "w int, v binary").collect()
-    out, rows = np.zeros((len(weight), wide)), 0.0
+    out, rows = np.zeros((len(q), wide)), 0.0
     for r in got:
         if r["w"] < 0:
             rows = float(np.frombuffer(r["v"])[0])
@@ -262,14 +274,14 @@ def _normal(postings: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.
     return out, rows
 
 
-def latent(postings: DataFrame, weight: np.ndarray, items: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (words, rank) of all passages with the items (unit rows) as half of the weight."""
-    rank = min(len(weight), len(items) + EXTRA)
+def latent(postings: DataFrame, weight: np.ndarray, local: np.ndarray, items: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Right singular vectors (words of the items, rank) of all passages with the items (unit rows) as half of the weight. local: the items' number of each word, or -1."""
+    rank = min(items.shape[1], len(items) + EXTRA)
     rng = np.random.default_rng(seed)
-    q = np.linalg.qr(rng.normal(size=(len(weight), rank)))[0]
+    q = np.linalg.qr(rng.normal(size=(items.shape[1], rank)))[0]
     y = None
     for _ in range(2):  # one power iteration
-        y, rows = _normal(postings, weight, q)
+        y, rows = _normal(postings, weight, local, q)
         own = items.T @ (items @ q)
         y += own * max(1.0, rows / max(1, len(items)))
         last, q = q, np.linalg.qr(y)[0]
@@ -310,8 +322,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     scratch = Scratch(spark, "decontaminate")
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
-    total = benchmark.count()
-    chunks = max(1, -(-total // CHUNK))
+    total = benchmark.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.col(item_text).cast("string"))), F.lit(0)).alias("c")).collect()[0]
+    chunks = max(1, -(-total["n"] // CHUNK), -(-total["c"] // CHUNK_CHARS))
     out = None
     for c in range(chunks):
         part = benchmark.where(F.pmod(F.xxhash64(F.col(item_col), F.col(item_text)), F.lit(chunks)) == c) if chunks > 1 else benchmark
@@ -345,20 +357,24 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
     vocabulary = Vocabulary(every.words[kept])
     every_posting = scratch.keep(_postings(keyed, vocabulary, Needed(every, df, words)), f"postings-{c}")
     postings = every_posting.select("id", "k", "p", "w").repartition(partitions(keyed.sparkSession))
-    blocks = []
+    found = None
     for a in range(0, len(windows), BLOCK):
-        names = [n for n, _ in windows[a : a + BLOCK]]
-        rows = np.zeros((len(names), len(idf)))
-        for r, (_, w) in enumerate(windows[a : a + BLOCK]):
-            at, k = vocabulary.find(w)
-            np.add.at(rows[r], k, idf[k])
+        some = windows[a : a + BLOCK]
+        names = np.array([n for n, _ in some])
+        columns = [vocabulary.find(w)[1] for _, w in some]
+        used = np.unique(np.concatenate(columns))  # the words of these windows
+        local = np.full(len(idf), -1, np.int32)
+        local[used] = np.arange(len(used))
+        rows = np.zeros((len(some), len(used)))
+        for r, k in enumerate(columns):
+            np.add.at(rows[r], local[k], idf[k])
         rows /= np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-30)
-        v = latent(postings, idf, rows)
+        v = latent(postings, idf, local, rows)
         z = rows @ v
-        blocks.append((np.array(names), v.astype(np.float32), (z / np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-30)).astype(np.float32)))
-    found = None
-    for names, v, z in blocks:
-        part = _search(every_posting.repartition(partitions(keyed.sparkSession)), idf, names, v, z)
+        z /= np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-30)
+        part = _search(every_posting.repartition(partitions(keyed.sparkSession)), idf, local, names, v.astype(np.float32), z.astype(np.float32))
+        if len(windows) > BLOCK:  # so that no more than one block's vectors are held
+            part = scratch.keep(part, f"found-{c}-{a}")
         found = part if found is None else found.union(part)
     near = found.groupBy("id", "k").agg(F.collect_list(F.struct("n", "win", "cosine")).alias("c"))  # windows of one document times items above the cut
     near = scratch.keep(near, f"candidates-{c}")
@@ -399,17 +415,19 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
     return joined.mapInArrow(check, f"id {id_kind}, item string, cosine double, lcs double, answer double, kind string")
 
 
-def _search(postings: DataFrame, weight: np.ndarray, names: np.ndarray, v: np.ndarray, z: np.ndarray) -> DataFrame:
+def _search(postings: DataFrame, weight: np.ndarray, local: np.ndarray, names: np.ndarray, v: np.ndarray, z: np.ndarray) -> DataFrame:
     """Passages and items whose cosine in the latent space reaches COSINE, and those of the postings' last columns."""
-    sent = postings.sparkSession.sparkContext.broadcast((weight, names, v, z))
+    sent = postings.sparkSession.sparkContext.broadcast((weight, local, names, v, z))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         env_threads()
-        weight, names, v, z = sent.value
+        weight, local, names, v, z = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 doc, win, bound, col, val = passages(part.column(2), part.column(3), weight)
+                own, bound, col, val = _cut(bound, local[col], val)
+                doc, win = doc[own], win[own]
                 # unit length is that of the passage's words, so what falls outside the latent space counts against it
                 cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T if len(doc) else np.zeros((0, len(names)), np.float32)
                 # of the windows of one item, which stand together, the best
