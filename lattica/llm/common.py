@@ -21,10 +21,13 @@ _SHIPPED = "_lattica_shipped"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one made here where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one made here where that is unset and Spark runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     own = getattr(spark.sparkContext, "_lattica_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="lattica-")
@@ -80,6 +83,13 @@ class Scratch:
         fs.delete(p, True)
 
     def _quiet(self) -> None:
+        """As the driver ends: through Hadoop's file systems while there is a JVM, else what is local."""
+        try:
+            if self.spark.sparkContext._jsc is not None:
+                self.drop()
+                return
+        except Exception:  # the context has gone  # noqa: BLE001, S110
+            pass
         local = self.base.removeprefix("file:")
         if local.startswith("/"):
             shutil.rmtree(local, ignore_errors=True)

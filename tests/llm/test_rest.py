@@ -346,3 +346,71 @@ def test_license_files_tags_and_rows_without_ids(spark):
     assert all((r.doc_id, r.path) in {(i, p) for i, p, _, _ in rows} for r in got)
     more = licenses.scan(df.limit(1), F.col("path"), F.lit(True), templates=(("Own-1", "a wholly different licence text of our own"),)).collect()
     assert more[0].license is None
+
+
+def test_contamination_in_several_blocks(spark, monkeypatch):
+    """Blocks of few windows and chunks of little text find what one block finds: every planted copy, of items of 5 to 2,000 words."""
+    rng = random.Random(17)
+    items = [(i, prose(rng, n, 10**6)) for i, n in enumerate((5, 8, 30, 64, 100, 200, 300, 400, 500, 600, 1000, 2000))]
+    rows = [(i, prose(rng, 90, 10**6) + " " + t + " " + prose(rng, 90, 10**6)) for i, t in items] + [(100 + i, prose(rng, 200, 10**6)) for i in range(20)]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i) for i, _ in items}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK", 40)
+    monkeypatch.setattr(decontaminate, "CHUNK_CHARS", 30_000)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+
+
+def test_recall_of_the_cosine_search(spark, monkeypatch):
+    """Passages found by cosine alone, against the cosines of all passages and items computed plainly."""
+    rng = random.Random(18)
+    items = [(i, prose(rng, rng.randrange(20, 60), 800)) for i in range(30)]
+    rows = []
+    for i in range(120):
+        w = prose(rng, rng.randrange(30, 150), 800).split()
+        t = dict(items)[i % 30].split()
+        rows.append((i, " ".join(w[: len(w) // 2] + t[: rng.randrange(len(t))] + w[len(w) // 2 :])))
+    items.sort(key=lambda x: str(x[0]))  # the operator's own order
+    words_ = decontaminate.hashes(pa.array([t for _, t in items]))
+    texts = decontaminate.hashes(pa.array([t for _, t in rows]))
+    names = np.unique(np.concatenate(words_))
+    df = np.array([sum(w in set(t.tolist()) for t in texts) for w in names.tolist()])
+    monkeypatch.setattr(decontaminate, "COMMON", 1.0)
+    idf = np.log((len(rows) + 1) / (df + 1)) + 1e-3
+    row = lambda h: np.bincount(np.searchsorted(names, h[np.isin(h, names)]), minlength=len(names)) * idf
+    unit = lambda x: x / max(float(np.sqrt((x * x).sum())), 1e-30)
+    q = np.stack([unit(row(w)) for w in words_])
+    want = {(i, n) for i, h in enumerate(texts) for at in range(0, len(h), 32) for n in np.flatnonzero(q @ unit(row(h[at : at + 64])) >= decontaminate.COSINE + 0.02)}
+    seen = {}
+    plain_ = decontaminate._search
+    monkeypatch.setattr(decontaminate, "_search", lambda *a: seen.setdefault("found", plain_(*a)))
+    decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.id, r.n) for r in seen["found"].where(F.col("cosine") >= decontaminate.COSINE).collect()}
+    assert len(want) > 40 and len(want & found) >= 0.98 * len(want)
+
+
+def test_records_of_repeated_and_unnamed_rows(spark, tmp_path):
+    """Each row has a record of its own, and of equal payloads one is the response: rows that repeat an id, and rows without one."""
+    body, other, third = ("x" * n for n in (150, 160, 170))
+    rows = [(5, body), (5, body), (7, body), (None, body), (None, other), (None, other), (9, third), (1, "s"), (1, "s"), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_warc(warc.to_records(df), str(tmp_path / "a"))
+    back = warc.read_warc(spark, str(tmp_path / "a"), payload="all").collect()
+    assert len(back) == len(rows) == len({r.record_id for r in back})
+    kinds = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in back), key=repr)
+    assert kinds == sorted([(5, 150, "response", None), (5, 150, "revisit", 5), (7, 150, "revisit", 5), (None, 150, "revisit", 5), (None, 160, "response", None), (None, 160, "revisit", None), (9, 170, "response", None), (1, 1, "response", None), (1, 1, "response", None), (None, 0, "response", None), (None, 0, "response", None)], key=repr)
+    ids = {r.record_id: r for r in back}
+    assert all(ids[r.refers_to_record].record_type == "response" and ids[r.refers_to_record].payload_digest == r.payload_digest for r in back if r.record_type == "revisit")
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Rows without an id are spread over cells by their text, and the mix keeps to its targets and repeats itself."""
+    rng = random.Random(3)
+    docs = frame(spark, [(None, prose(rng, rng.randrange(20, 60))) for _ in range(800)] + [(None, "a b c")] * 50, ["s1", "s2"])
+    got = mixing.mix(docs)
+    cells = docs.select(*mixing._cell(F.lit(3), F.lit(None).cast("long"), F.col("text"))).distinct().count()
+    assert cells > 200 and got.count() == 850
+    one = got.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.max("target").alias("target")).collect()
+    assert all(abs(r.t - r.target) <= 250 for r in one)
+    again = mixing.mix(docs.repartition(5), columns=["text"])
+    assert sorted(r.copies for r in again.collect()) == sorted(r.copies for r in got.collect())
