@@ -6,12 +6,14 @@ vector by eta = (dim - 1) T^2 / (1 - T^2), as that part moves large inner produc
 coordinate descent and centroids by the closed form for that loss. Equal vectors are indexed once, with their
 smallest ids, so a very common vector is one entry.
 
-search() sends blocks of queries against blocks of the index. In each, tables of partial inner products (two
-4-bit codes a byte) give approximate scores; all entries at or above the RERANK-th, ties included, are scored
-again exactly in double precision, and the best of each block are merged. A query's own id is left out.
+search() sends BLOCK_QUERIES queries at a time to all tasks, each of which scans its part of the index as it is
+stored, BLOCK_ROWS entries at a time, so no entry is shuffled. Tables of partial inner products (two 4-bit codes a
+byte) give approximate scores; all entries at or above the RERANK-th of a block, ties included, are scored again
+exactly in double precision, and those that reach the query's k-th best so far are merged into its k best. A task
+returns k rows for each query, whatever the length of its part. A query's own id is left out.
 
-The query set meets all rows, so work is their product; blocks bound a task's memory, and traffic is the rows
-times the number of query blocks.
+The query set meets all rows, so work is their product, as the exact search that it replaces; memory and what is
+broadcast are bounded by the blocks.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or differ in length from most,
 take no part, as rows or queries; a null id takes no part; rows that repeat an id count once for each
@@ -31,10 +33,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, env_threads
-from .neardup import _grouped
 
 SAMPLE, PAIR, THRESHOLD, ROUNDS = 8192, 2, 0.2, 4
-RERANK, BLOCK_ROWS, BLOCK_QUERIES = 200, 8192, 4096
+RERANK, BLOCK_ROWS, BLOCK_QUERIES = 200, 8192, 16384
 
 
 def _flat(col: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -165,58 +166,92 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return Index(book, scratch.keep(entries.mapInArrow(encode, "v array<double>, ids array<long>, code binary"), "index"), rows, scratch)
 
 
+class _Best:
+    """The k best of each query so far: scores and ids, best first, ties to the smaller id."""
+
+    def __init__(self, names: np.ndarray, qs: np.ndarray, book: Codebook, k: int, rerank: int):
+        self.names, self.qs, self.book, self.k, self.rerank = names, qs, book, k, rerank
+        self.score = np.full((len(names), k), -np.inf)
+        self.id = np.full((len(names), k), np.iinfo(np.int64).max)
+
+    def scan(self, t: pa.Table) -> None:
+        """Entries v, ids, code against all queries."""
+        x = _flat(t["v"])
+        code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+        code = np.ascontiguousarray(code.T).astype(np.intp)
+        ids = t["ids"].combine_chunks()
+        bound, ids = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        most = min(self.rerank, len(x))
+        for a in range(0, len(self.qs), 64):
+            tables = self.book.tables(self.qs[a : a + 64])
+            near = np.zeros((len(tables), len(x)), np.float32)
+            for n in range(code.shape[0]):
+                near += np.take(tables[:, n, :], code[n], axis=1)
+            cut = np.partition(near, len(x) - most, axis=1)[:, len(x) - most]
+            for n in range(len(tables)):
+                self._merge(a + n, np.flatnonzero(near[n] >= cut[n]), x, bound, ids)
+
+    def _merge(self, q: int, at: np.ndarray, x: np.ndarray, bound: np.ndarray, ids: np.ndarray) -> None:
+        exact = (x[at] * self.qs[q]).sum(1)
+        ok = exact >= self.score[q, -1]  # the bound that the blocks before set
+        at, exact = at[ok], exact[ok]
+        if not len(at):
+            return
+        size = bound[at + 1] - bound[at]
+        own = ids[np.repeat(bound[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        score = np.repeat(exact, size)
+        other = own != self.names[q]
+        score, own = np.concatenate((self.score[q], score[other])), np.concatenate((self.id[q], own[other]))
+        o = np.lexsort((own, -score))
+        # an id that stands for several vectors counts once, by its best
+        o = o[np.sort(np.unique(own[o], return_index=True)[1])] if len(np.unique(own)) < len(own) else o
+        o = o[: self.k]
+        self.score[q, : len(o)], self.id[q, : len(o)] = score[o], own[o]
+        self.score[q, len(o) :], self.id[q, len(o) :] = -np.inf, np.iinfo(np.int64).max
+
+    def rows(self) -> pa.RecordBatch:
+        q, r = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(self.names[q], pa.int64()), pa.array(self.id[q, r], pa.int64()), pa.array(self.score[q, r], pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def search(ix: Index, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
-    """queries: id, v. Returns query_id, rank, vec_id, score."""
-    out = "query_id long, vec_id long, score double"
+    """queries: id, v; of rows that repeat an id, one counts. Returns query_id, rank, vec_id, score."""
+    spark = ix.vectors.sparkSession
     if ix.book is None:
-        return ix.vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = lambda df, n: max(1, -(-df.count() // n))
-    queries = queries.dropDuplicates(["id"])
-    n_rows, n_queries = blocks(ix.entries, BLOCK_ROWS), blocks(queries, BLOCK_QUERIES)
-    rows = ix.entries.select(F.pmod(F.xxhash64("v"), F.lit(n_rows)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), "v", "ids", "code")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"), F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb"), F.lit(0).alias("side"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
-    sent = ix.vectors.sparkSession.sparkContext.broadcast(ix.book)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        env_threads()
-        book = sent.value
-        for t in _grouped(batches, 2):
-            side = t["side"].to_numpy()
-            q, r = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
-            if not len(q) or not len(r):
-                continue
-            qs, x = _flat(q["v"]), _flat(r["v"])
-            code = np.frombuffer(b"".join(r["code"].to_pylist()), np.uint8).reshape(len(x), -1)
-            code = np.ascontiguousarray(code.T).astype(np.intp)
-            names, ids = q["id"].to_numpy(), r["ids"].to_pylist()
-            most = min(rerank, len(x))
-            for a in range(0, len(qs), 64):
-                tables = book.tables(qs[a : a + 64])
-                near = np.zeros((len(tables), len(x)), np.float32)
-                for n in range(code.shape[0]):
-                    near += np.take(tables[:, n, :], code[n], axis=1)
-                cut = np.partition(near, len(x) - most, axis=1)[:, len(x) - most]
-                found = ([], [], [])
-                for n in range(len(tables)):
-                    at = np.flatnonzero(near[n] >= cut[n])
-                    exact = (x[at] * qs[a + n]).sum(1)
-                    own, best = int(names[a + n]), []
-                    last = None
-                    for o in np.argsort(-exact, kind="stable"):
-                        if len(best) >= k and exact[o] != last:
-                            break
-                        best += [(-float(exact[o]), i) for i in ids[at[o]] if i != own]
-                        last = exact[o]
-                    for s, i in sorted(best)[:k]:
-                        found[0].append(own)
-                        found[1].append(i)
-                        found[2].append(-s)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = rows.union(asked).repartition("rb", "qb").sortWithinPartitions("rb", "qb").mapInArrow(scan, out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = ix.scratch.keep(queries.select("id", "v").dropDuplicates(["id"]), "queries")
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    found = None
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        asked = part.toArrow()  # BLOCK_QUERIES rows or so
+        if not asked.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((ix.book, asked["id"].to_numpy(), _flat(asked["v"])))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            env_threads()
+            book, names, qs = sent.value
+            best, held, n = _Best(names, qs, book, k, rerank), [], 0
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK_ROWS):
+                    held.append(b.slice(at, BLOCK_ROWS))
+                    n += held[-1].num_rows
+                    if n >= BLOCK_ROWS:
+                        best.scan(pa.Table.from_batches(held))
+                        held, n = [], 0
+            if n:
+                best.scan(pa.Table.from_batches(held))
+            yield best.rows()
+
+        part = ix.scratch.keep(ix.entries.mapInArrow(scan, "query_id long, vec_id long, score double"), f"found-{block}")
+        sent.unpersist()
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     # an id that stands for several vectors is one neighbour
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
