@@ -78,10 +78,7 @@ class Model:
         """Maxima over each document of every rectified filter. A window that begins in the padding sees zeros."""
         parts = []
         for w, k, s in zip(WIDTHS, self.kernel, self.shift, strict=True):
-            z = x @ k[: WIDE]
-            for d in range(1, w):
-                z[:-d] += x[d:] @ k[WIDE * d : WIDE * (d + 1)]
-            parts.append(np.maximum(np.maximum.reduceat(z, start, axis=0) + s, 0))
+            parts.append(np.maximum(np.maximum.reduceat(_convolve(x, start, w, k), start, axis=0) + s, 0))
         return np.concatenate(parts, axis=1)
 
     def logits(self, h: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -94,6 +91,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _convolve(x: np.ndarray, start: np.ndarray, w: int, k: np.ndarray) -> np.ndarray:
+    """Filters over all windows of w rows. Those that begin in the padding are 0, as what follows it is another document."""
+    z = x @ k[:WIDE]
+    for d in range(1, w):
+        z[:-d] += x[d:] @ k[WIDE * d : WIDE * (d + 1)]
+    ends = np.append(start[1:], len(x))
+    z[(ends[:, None] - 1 - np.arange(PAD)).ravel()] = 0
+    return z
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: int = 7) -> Model:
     """Train on word hashes and labels. A fifth of the rows is kept out for calibration."""
     rng = np.random.default_rng(seed)
@@ -132,9 +139,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: in
             ends = np.append(start[1:], len(x))
             pool, best = [], []
             for w, k, s in zip(WIDTHS, m.kernel, m.shift, strict=True):
-                z = x @ k[: WIDE]
-                for d in range(1, w):
-                    z[:-d] += x[d:] @ k[WIDE * d : WIDE * (d + 1)]
+                z = _convolve(x, start, w, k)
                 top = np.stack([a + z[a:b].argmax(0) for a, b in zip(start, ends, strict=True)])
                 best.append(top)
                 pool.append(z[top, np.arange(FILTERS)] + s)
@@ -151,7 +156,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: in
                 gk = np.zeros_like(k)
                 for d in range(w):
                     at_d = np.minimum(top + d, len(x) - 1)
-                    inside = (top + d < len(x))[..., None]
+                    inside = (top + d < ends[:, None])[..., None]  # no further than the document's padding
                     gk[WIDE * d : WIDE * (d + 1)] = np.einsum("bf,bfe->ef", da, x[at_d] * inside)
                     np.add.at(dx, at_d.ravel(), (da[..., None] * k[WIDE * d : WIDE * (d + 1)].T[None] * inside).reshape(-1, WIDE))
                 dk.append(gk)
