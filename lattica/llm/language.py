@@ -4,13 +4,14 @@ Training counts hashed byte trigrams of words (with their edges) by language ove
 A word's likelihood in a language is the product of its trigrams'. For a document, EM estimates the share
 of its words from each language; languages are then ordered by share, the sets of the first 1, 2, ... are
 fitted, and the set with the best penalised log-likelihood is kept: each further language must gain
-PENALTY * log(words) / 2. As no likelihood exceeds that of each word in its best language, a document's sets
+PENALTY * log(words + 1) / 2. As no likelihood exceeds that of each word in its best language, a document's sets
 end where the penalty alone is more than the best set lacks. The prediction is the language with the largest
 share, and the score that share.
 
 Edge cases: null text, or text without a letter, gives `und` with score 0 and no languages; empty training
 data gives `und` for all; languages that tie go by name; a null id passes through; repeated rows are
-predicted alike; an empty table gives an empty result. Only id, text and lang are read.
+predicted alike; an empty table gives an empty result. Only id, text and lang are read. The model has a row for
+each language, and is held by the driver and every task, so more than LANGUAGES different values of lang are an error.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BITS = 15
 SMOOTH = 0.2
 ROUNDS, PENALTY = 8, 6.0
 UNKNOWN = "und"
+#: Most languages of a model, whose size goes with their number.
+LANGUAGES = 500
 
 
 def trigrams(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +133,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["l", "g", "n"])
 
+    many = rows.select("l").distinct().limit(LANGUAGES + 1).count()
+    if many > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
     # a row for each language and bucket at most, whatever the corpus
     got = rows.mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got["l"].to_pylist()))
