@@ -118,3 +118,75 @@ def test_em_finds_the_maximum(model):
     pi, ll = language._em(p, np.array([0]), np.array([50]), np.full((1, 3), 1 / 3), rounds=300)
     best = max(float(np.log(p @ np.array([a, b, 1 - a - b])).sum()) for a in np.linspace(0, 1, 51) for b in np.linspace(0, 1, 51) if a + b <= 1)
     assert ll[0] >= best - 1e-3 and abs(pi.sum() - 1) < 1e-6
+
+
+def test_scores_are_those_of_a_plain_network(spark, labelled):
+    """Every window of every filter over looked-up embeddings, word by word, against scores of whole batches."""
+    import math
+
+    import pyarrow as pa
+
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    texts = [r.text for r in docs.limit(25).collect()] + ["", "one", "vileword", "vileword nastyone x"]
+    got = [r.score for r in toxicity.score(frame(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()]
+    mask = (1 << toxicity.BITS) - 1
+    for text, score in zip(texts, got, strict=True):
+        (_, h, _), = toxicity.word_ids(pa.array([text]))
+        rows = [[v for table, index, (c, s) in zip(model.table, model.index, toxicity.PLACES, strict=True) for v in table[index[(int(w[c]) >> s) & mask]]] for w in h]
+        rows += [[0.0] * toxicity.WIDE] * toxicity.PAD
+        z = model.bias
+        n = 0
+        for width, kernel, shift in zip(toxicity.WIDTHS, model.kernel, model.shift, strict=True):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(rows[at + d][e]) * float(kernel[toxicity.WIDE * d + e, f]) for d in range(width) if at + d < len(rows) for e in range(toxicity.WIDE)) for at in range(len(rows)))
+                z += max(best + float(shift[f]), 0.0) * float(model.out[n])
+                n += 1
+        assert math.isclose(score, 1 / (1 + math.exp(-(model.scale[0] * z + model.scale[1]))), abs_tol=2e-4)
+
+
+def test_toxicity_of_the_given_labels(spark, folder):
+    """Held-out rows of the given documents, told apart by a model that never saw them."""
+    from lattica.llm.common import read
+
+    big = folder.replace("0.001", "0.01")
+    docs, labels = read(spark, big, "documents"), read(spark, big, "labels")
+    model = toxicity.train(docs, labels, ~toxicity.held_out())
+    got = toxicity.score(docs.where(toxicity.held_out()), model).join(labels, "doc_id").where("toxic is not null").collect()
+    hit = np.array([r.score for r in got if r.toxic])
+    miss = np.array([r.score for r in got if not r.toxic])
+    assert len(hit) > 5 and (hit[:, None] > miss[None]).mean() > 0.7 and (miss >= 0.3).mean() < 0.1
+
+
+def test_language_of_words_added_one_by_one(spark, model):
+    """Predictions of documents in one language against trigram sums word by word, for each language alone."""
+    import pyarrow as pa
+
+    from lattica.llm.textvec import buffers
+
+    rng = random.Random(12)
+    rows = [(i, text(rng, c, rng.randrange(1, 30))) for i, c in enumerate(["aa", "bb", "cc"] * 12)]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        data, off = buffers(pa.array([t]))
+        g, start, _ = language.trigrams(data, off, 0, 1)
+        total = [0.0] * len(model.languages)
+        for a, b in zip(start, [*start[1:], len(g)], strict=True):
+            for k in range(len(total)):
+                total[k] += sum(float(model.logp[x, k]) for x in g[a:b])
+        assert got[i].lang_pred == model.languages[int(np.argmax(total))]
+
+
+def test_language_refuses_too_many(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        language.train(spark.createDataFrame([("a b", f"l{i}") for i in range(5)], "text string, lang string"))
+
+
+def test_language_held_out_accuracy(spark, folder):
+    from lattica.llm.common import read
+
+    docs = read(spark, folder.replace("0.001", "0.01"), "documents")
+    model = language.train(docs.where(~language.held_out()))
+    got = language.predict(docs.where(language.held_out()), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95

@@ -74,3 +74,20 @@ def test_repeated_rows_and_null_ids_through_stages(spark, folder):
         got = [(r.doc_id, r.text) for r in docs.collect()]
         assert docs.columns == frame(spark, rows).columns and len(got) == 9
         assert set(got) - {(None, t[4]), (None, near)} == {(1, t[0]), (3, t[1]), (None, t[2]), (4, t[3]), (4, t[5]), (5, t[6]), (6, None), (7, "")}
+
+
+def test_stages_take_awkward_tables(spark, folder):
+    """An empty table, null rows and columns that clash pass through every stage that keeps columns."""
+    from pyspark.sql import functions as F
+
+    docs = read(spark, folder, "documents").limit(60)
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("id", "text_", "copy_", "component", "node", "hub", "k", "spans", "_v", "score")])
+    null = clash.limit(2).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in clash.schema])
+    for given in (clash.where("false"), clash.union(null), null):
+        out = given
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, folder)
+            if name != "mixing":
+                assert out.columns == given.columns
+                out = out.cache()
+        assert out.count() >= 0

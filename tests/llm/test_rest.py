@@ -414,3 +414,30 @@ def test_mixing_of_rows_without_ids(spark):
     assert all(abs(r.t - r.target) <= 250 for r in one)
     again = mixing.mix(docs.repartition(5), columns=["text"])
     assert sorted(r.copies for r in again.collect()) == sorted(r.copies for r in got.collect())
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    """Several blocks of rows and of queries, a thirtieth of each reranked: against brute force, and scores exact to the bit."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 1500)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 70)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 32))
+    x = (centre[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    ix = ann.index(df, ids=11)
+    got = {}
+    for r in ann.search(ix, ix.vectors.where("id % 30 = 0"), 10, rerank=50).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    d, hit = x.astype(np.float64), 0
+    assert set(got) == set(range(0, 6000, 30))
+    for q, rs in got.items():
+        s = (d * d[q]).sum(1)
+        assert sorted(rs) == list(range(1, 11)) and all(v == s[i] for i, v in rs.values())
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(6000), -s))[:10]
+        hit += len(set(best.tolist()) & {i for i, _ in rs.values()})
+    assert hit >= 0.9 * 10 * len(got)
+    every = ann.search(ix, ix.vectors.where("id = 30"), 10, rerank=6000).collect()
+    s = (d * d[30]).sum(1)
+    s[30] = -np.inf
+    assert [r.vec_id for r in sorted(every, key=lambda r: r["rank"])] == np.lexsort((np.arange(6000), -s))[:10].tolist()
