@@ -70,11 +70,9 @@ def own_licenses(base: DataFrame, scratch: Scratch, match: float = MATCH, templa
     spark = base.sparkSession
     known = spark.sql(f"SELECT col1 AS w FROM VALUES {_words(templates)}")
     df = base.select(F.explode("_ls_words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # one row of files counted joins to each word by a constant key
-    n = base.agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("one", F.lit(1))
-    idf = (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    words = known.join(df, "w", "left").withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select("w", idf, (F.log(F.col("n") + 1) + 1).alias("top"))
-    words = scratch.keep(words.coalesce(1), "words")
+    n = F.lit(float(base.count()))
+    top = F.log(n + 1) + 1  # of words that no template has
+    words = scratch.keep(known.join(df, "w", "left").select("w", (F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")).coalesce(1), "words")
     postings = spark.sql(f"SELECT col1 AS t, col2 AS license, col3 AS w, col4 AS c FROM VALUES {_postings(templates)}").join(F.broadcast(words), "w").select("t", "license", "w", (F.col("c") * F.col("idf") * F.col("idf")).alias("tw2"), F.pow(F.col("c") * F.col("idf"), 2).alias("sq"))
     postings = scratch.keep(postings.coalesce(1), "postings")
     norms = postings.groupBy("t").agg(F.sqrt(F.sum("sq")).alias("tn"))
@@ -84,9 +82,7 @@ def own_licenses(base: DataFrame, scratch: Scratch, match: float = MATCH, templa
     found = found.union(base.where("_ls_all is not null").select("_ls_row", F.lit(-1).alias("i"), F.lit(0).alias("k"), F.col("_ls_all").alias("x")))
     terms = found.select("_ls_row", "i", "k", F.explode(F.regexp_extract_all(F.lower("x"), F.lit(_TOKEN), F.lit(0))).alias("w"))
     terms = scratch.keep(terms.groupBy("_ls_row", "i", "k", "w").agg(F.count(F.lit(1)).alias("tf")), "terms")
-    top = words.agg(F.max("top").alias("top")).withColumn("one", F.lit(1))
-    weighed = terms.join(F.broadcast(words.select("w", "idf")), "w", "left").withColumn("one", F.lit(1)).join(F.broadcast(top), "one")
-    norm = weighed.groupBy("_ls_row", "i", "k").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", "top"), 2))).alias("dn"))
+    norm = terms.join(F.broadcast(words), "w", "left").groupBy("_ls_row", "i", "k").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", top), 2))).alias("dn"))
     dots = terms.join(F.broadcast(postings), "w").groupBy("_ls_row", "i", "k", "t", "license").agg(F.sum(F.col("tf") * F.col("tw2")).alias("dot"))
     scored = dots.join(F.broadcast(norms), "t").join(norm, ["_ls_row", "i", "k"]).select("_ls_row", "license", F.round(F.col("dot") / (F.col("dn") * F.col("tn")), 6).alias("score")).where(F.col("score") >= match)
     best = scored.union(tagged).groupBy("_ls_row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
