@@ -182,6 +182,7 @@ def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int =
         x[inside] += 2
         t[begin[i] : begin[j]] = x
     sa, lcp = suffix_array(t, 258, width, pool)
+    del t
     again = pool.empty(n, bool)
     a = 0
     while a < n:  # groups of suffixes that share `width` symbols
@@ -199,6 +200,7 @@ def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int =
         many = np.add.reduceat(w, new) >= 2
         again[pos[np.repeat(many, np.diff(np.append(new, len(pos))))]] = True
         a = b
+    del sa, lcp
     spans: list[np.ndarray] = []
     last = np.zeros(0, np.int64)  # the span that the next block may continue: string, start, end
     for a in range(0, n, BATCH):

@@ -44,10 +44,13 @@ class Pool:
         return os.path.join(self.dir, str(self.files))
 
     def empty(self, n: int, dtype) -> np.ndarray:
-        """An array of zeros."""
+        """An array of zeros. A file has no name any more once it is mapped, so its space is free as soon as the array is."""
         if n * np.dtype(dtype).itemsize <= self.memory:
             return np.zeros(n, dtype)
-        return np.asarray(np.memmap(self.path(), dtype, "w+", shape=(n,)))
+        path = self.path()
+        out = np.asarray(np.memmap(path, dtype, "w+", shape=(n,)))
+        os.unlink(path)
+        return out
 
     def close(self) -> None:
         if self.dir is not None:
@@ -416,7 +419,9 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BA
         x = x[is_lms[x]]
         order[done : done + len(x)] = x
         done += len(x)
+    del down, up, is_lms
     reduced, distinct = _names(t, order, lms, number, pool)
+    del number
 
     seed_lcp = pool.empty(m, small)
     if distinct < m:
@@ -436,11 +441,13 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BA
             reach = lms[np.minimum(k + known[lo:b], m - 1)].astype(np.int64) - lms[k]
         seed_lcp[lo:b] = _compare(t, x, y, reach, cap)
 
+    del sub, known, reduced, order
     # all suffixes
     down, down_lcp = induce(t, fall, seeds, seed_lcp, run, sigma, cap, pool)
     back = pool.empty(len(down), small)
     back[1:] = down_lcp[:0:-1]
     up, up_lcp = induce(mirrored, rise, down[::-1], back, run, sigma, cap, pool, last=n - 1)
+    del mirrored, back, seeds, seed_lcp, lms
     falls, rises = _count(t, None, fall, sigma, pool), _count(t, None, rise, sigma, pool)
     falls_to, rises_to = _offsets(falls, pool), _offsets(rises, pool)
     sa, lcp = pool.empty(n, wide), pool.empty(n, small)
