@@ -251,8 +251,11 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame, k: int, percent:
     first = scratch.keep(block.repartition("hub", "i").sortWithinPartitions("hub", "i").mapInArrow(star, _LINKS), "links-1")
 
     # Families of several blocks, in several components: tiles of blocks against blocks, but not inside the main component.
+    scratch.drop("family")
     large = member.where("blocks > 1").select("hub", "node")
     if large.isEmpty():
+        for step in ("rows", "member", "total"):
+            scratch.drop(step)
         return first, None
     labels = components(first, scratch, "cc1").withColumnRenamed("component", "label")
     large = scratch.keep(large.join(rows.select("node", "id", "n"), "node").join(labels, "id", "left").select("hub", "node", "n", F.coalesce("label", "id").alias("label")), "large")
@@ -278,7 +281,10 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame, k: int, percent:
             yield _links(b.merge(np.flatnonzero(side == 0), (side == 0) if same else (side == 1), later=same))
 
     block = placed.join(rows, "node").select("hub", "i", "j", "side", "id", "label", "n", "sig", "text")
-    return first, scratch.keep(block.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(cross, _LINKS), "links-2")
+    second = scratch.keep(block.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(cross, _LINKS), "links-2")
+    for step in ("rows", "member", "total", "large"):
+        scratch.drop(step)
+    return first, second
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
