@@ -38,7 +38,7 @@ WIDTH, GRAM = 200, 64
 HOT, RANGES = 1024, (16, 1)
 #: Bytes of text of one suffix array, unless one anchor has more; bytes of one array, or of text, that stay in memory.
 #: Sorting a shard takes arrays of some 40 bytes for each of its own, all of them in files.
-SHARD, MEMORY = 2 << 20, 1 << 20
+SHARD, MEMORY = 1 << 20, 1 << 18
 SEGMENT = 1 << 20
 _RUN = "id long, k long, m long, ph long, p int, n int"
 
@@ -312,6 +312,9 @@ def _detect(pieces: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
     found = _detect(smaller, scratch, level + 1).select(F.col("m").alias("m2"), F.col("ph").alias("ph2"), F.col("n").alias("n2"), "spans")
     back = cut.select("m", "ph", "n", "off", "m2", "ph2", "n2").join(found, ["m2", "ph2", "n2"])
     back = back.groupBy("m", "ph", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct((x["s"] + F.col("off")).alias("s"), (x["e"] + F.col("off")).alias("e"))))))).alias("spans"))
+    back = scratch.keep(back, f"back-{level}")
+    for step in (f"cut-{level}", f"pieces-{level + 1}", f"spans-{level + 1}", f"back-{level + 1}"):
+        scratch.drop(step)
     return spans.union(back)
 
 
@@ -350,7 +353,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = _detect(pieces, scratch)
     placed = places.join(spans, ["m", "ph", "n"]).select("id", "k", F.transform("spans", lambda x: F.struct((x["s"] + F.col("p")).alias("s"), (x["e"] + F.col("p")).alias("e"))).alias("spans"))
     out = scratch.keep(placed.groupBy("id", "k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeated")
-    for step in ("places", "pieces"):
+    for step in ("places", "pieces", "spans-0", "back-0"):
         scratch.drop(step)
     return out, scratch
 
