@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +65,16 @@ class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive any executor.
 
     keep() writes a table and reads it back; drop() removes those that later steps no longer need.
-    What is left goes when the driver ends, as a result may still be read lazily from it.
+    What is left goes when the driver ends, as a result may still be read lazily from it, or at the end of released().
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._quiet)
+        Scratch.made.append(self)
 
     def path(self, step: str) -> str:
         return f"{self.base}/{step}"
@@ -95,6 +100,19 @@ class Scratch:
             shutil.rmtree(local, ignore_errors=True)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Drops the tables that operators called within wrote, at its end: what those returned must have been written by then.
+
+    After an error the tables stay until the driver ends. Not for operators that run at once in several threads.
+    """
+    before = len(Scratch.made)
+    yield
+    for s in Scratch.made[before:]:
+        s.drop()
+    del Scratch.made[before:]
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

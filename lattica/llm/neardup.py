@@ -287,9 +287,12 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame, k: int, percent:
     return first, second
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """A row per document: id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's)."""
-    scratch = Scratch(docs.sparkSession, "neardup")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
+    """A row per document: id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's).
+
+    What is returned reads tables of `scratch`, which a caller that gives one can drop when it has written the rows.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
     every = scratch.keep(signatures(docs, id_col, text_col, k), "signatures")
     some = every.where("n > 0 and id is not null")
     sets = some.groupBy("hi", "lo").agg(F.min(F.struct("id", "tk", "n", "sig")).alias("r"))
@@ -305,6 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mine = some.select("id", "hi", "lo").join(several, "id").join(reps.select("hi", "lo", F.col("id").alias("b")), ["hi", "lo"])
         pairs = pairs.union(mine.select(F.col("id").alias("a"), "b").where("a <> b"))
     found = components(pairs, scratch, "cc")
+    for step in ("links-1", "links-2", "several"):
+        scratch.drop(step)
     group = reps.join(found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id"))
     out = every.select("id", "n", "hi", "lo").join(group, ["hi", "lo"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
