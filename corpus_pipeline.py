@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, mixing, neardup, passages, toxicity
-from lattica.llm.common import Scratch, read, ship
+from lattica.llm.common import Scratch, read, released, ship
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "rows")
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     times = keyed.groupBy("_row").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("times"))
-    found = neardup.near_duplicates(keyed.select("_row", "text"), "_row").select("_row", "component_id").distinct()
+    tables = Scratch(spark, "neardup")
+    found = neardup.near_duplicates(keyed.select("_row", "text"), "_row", scratch=tables).select("_row", "component_id").distinct()
     # kept as a table, so that the join that follows can split a large group
     groups = scratch.keep(found.join(times, "_row"), "groups")
+    tables.drop()
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = groups.join(first, "component_id").where("_row <> _first").select("_row")
     left = keyed.join(gone, "_row", "left_anti")
@@ -84,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{n}-{name}")
+        with released():  # a stage's own tables are not needed once its rows are written
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{n}-{name}")
         if n:
             scratch.drop(f"{n - 1}-{STAGES[n - 1][0]}")
     return docs
