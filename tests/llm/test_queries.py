@@ -1,6 +1,7 @@
 """Queries that SQL can express against it, on the smallest data; the rest against plain versions or held-out rows; and the pipeline."""
 
 import math
+import os
 import random
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lattica.llm import decontaminate, queries
-from lattica.llm.common import read
+from lattica.llm.common import Scratch, read, released
 
 from .helpers import frame, prose, words
 
@@ -59,7 +60,27 @@ def test_pipeline(spark, folder):
             assert docs.count() == before.count()
         if name == "mixing":
             assert all(r["size"] == len(words(r.text)) and r.copy <= 3 for r in docs.collect())
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    before = list(Scratch.made)
+    got = corpus_pipeline.run(spark, folder)
+    assert sorted((r.doc_id, r.copy) for r in got.collect()) == sorted((r.doc_id, r.copy) for r in docs.collect())
+    # of what the stages wrote, the last table alone is left
+    (own,) = [s for s in Scratch.made if s not in before]
+    assert os.listdir(own.base.removeprefix("file://")) == ["4-mixing"]
+
+
+def test_released(spark):
+    """Tables made within go at the end, those of before stay, and an error leaves all."""
+    held = Scratch(spark, "held")
+    kept = held.keep(spark.range(3).toDF("x"), "a")
+    with released():
+        gone = Scratch(spark, "gone")
+        assert gone.keep(kept, "b").count() == 3
+    assert kept.count() == 3 and not os.path.exists(gone.base.removeprefix("file://"))
+    with pytest.raises(ValueError, match="stop"), released():
+        left = Scratch(spark, "left")
+        left.keep(kept, "c")
+        raise ValueError("stop")
+    assert os.path.exists(left.path("c").removeprefix("file://"))
 
 
 def test_repeated_rows_and_null_ids_through_stages(spark, folder):
