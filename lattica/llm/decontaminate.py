@@ -12,7 +12,9 @@
    documents' passages are compared by cosine there, in blocks; pairs at COSINE or above are candidates.
    So is every passage about which enough of an item's rarest words stand, however often the item leaks: what
    step 5 reports shares PARAPHRASE of the item's words, so only the other words of those can be missing. An
-   item keeps as many of its rarest words for this as leave LEAST or a SHARE of its words to be found.
+   item keeps as many of its rarest words for this as leave LEAST or a SHARE of its words to be found. Those passages
+   are then counted out where the text is at hand: words about one that are the item's, whatever their order, bound
+   the common subsequence of step 5 from above, so what falls short of PARAPHRASE goes no further.
 5. Candidates are checked on all words: the longest common subsequence of the item and the words about the
    passage covers VERBATIM of the item, or PARAPHRASE of it while ANSWER of the words of the item's answer (its
    last sentence) occur there too.
@@ -37,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, env_threads, partitions
-from .textvec import NOT_ALNUM, U, Words, buffers, slices
+from .textvec import NOT_ALNUM, U, Words, buffers, mix, slices
 
 WINDOW, COMMON, RAREST = 64, 0.02, 4
 CHUNK, CHUNK_CHARS, BLOCK, EXTRA = 8192, 32 << 20, 256, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.7, 0.6, 0.8
 LEAST, SHARE = 4, 8
 _BITS = 20
+#: Words about passages that are compared with items' words at a time; entries of a row that are added up before others.
+PLACES, PIECE = 1 << 18, 64
 
 
 def hashes(texts: pa.Array) -> list[np.ndarray]:
@@ -74,7 +78,10 @@ class Vocabulary:
 
 
 class Needed:
-    """For each item its rarest words, and how many of their places at least stand about any passage that step 5 can report."""
+    """For each item its rarest words, and how many of their places at least stand about any passage that step 5 can report.
+
+    Also all words of all items with their numbers, a hash for each pair of item and word; pairs that share one only let more pass.
+    """
 
     def __init__(self, every: Vocabulary, df: np.ndarray, words: list[np.ndarray]):
         self.reach = np.array([-(-len(w) // (WINDOW // 2)) for w in words], np.int64)  # halves of a window by which the words about it exceed it
@@ -96,9 +103,37 @@ class Needed:
         o = np.argsort(word, kind="stable")
         self.vocabulary = Vocabulary(every.words[used])
         self.item, self.bound = item[o], np.searchsorted(word[o], np.arange(len(used) + 1))
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.salt = mix(np.arange(1, len(words) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+        pairs, self.times = np.unique(np.concatenate([w + self.salt[n] for n, w in enumerate(words)]), return_counts=True)
+        self.pairs = Vocabulary(pairs)
+
+    def share(self, h: np.ndarray, of: np.ndarray, doc: np.ndarray, item: np.ndarray, win: np.ndarray) -> np.ndarray:
+        """What share of the item's words the words about each passage hold, in any order, equal ones as often as both have them; 0 where it is under PARAPHRASE."""
+        at, size = win * (WINDOW // 2), self.size[item]
+        lo = of[doc] + np.maximum(0, at - size)
+        n = np.minimum(of[doc + 1], of[doc] + at + WINDOW + size) - lo
+        out = np.zeros(len(doc))
+        bound = np.concatenate(([0], np.cumsum(n)))
+        for i, j in slices(bound, PLACES):
+            of_row = np.repeat(np.arange(j - i), n[i:j])
+            x = h[np.arange(bound[j] - bound[i]) + np.repeat(lo[i:j] - bound[i:j] + bound[i], n[i:j])]
+            x += np.repeat(self.salt[item[i:j]], n[i:j])
+            hit, pair = self.pairs.find(x)
+            row = of_row[hit]
+            enough = np.bincount(row, minlength=j - i) / size[i:j] >= PARAPHRASE  # a first bound, without a sort
+            some = enough[row]
+            key, count = np.unique(row[some] * len(self.times) + pair[some], return_counts=True)
+            both = np.minimum(count, self.times[key % len(self.times)])
+            got = np.bincount(key // len(self.times), both, minlength=j - i) / size[i:j]
+            out[i:j] = np.where(got >= PARAPHRASE, got, 0)
+        return out
 
     def passages(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of documents with words h[of[r]:of[r + 1]]: document, item and number of each passage about which enough words stand, in order."""
+        """Of documents with words h[of[r]:of[r + 1]]: document, item and number of each passage about which enough words stand, in order.
+
+        Enough are so many of the rarest words that step 5 could report it, and so many of all words.
+        """
         at, k = self.vocabulary.find(h)
         many = np.diff(self.bound)[k]
         item = self.item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.bound[k], many)]
@@ -120,7 +155,9 @@ class Needed:
         same = np.concatenate(([False], (doc[i][1:] == doc[i][:-1]) & (item[i][1:] == item[i][:-1])))
         lo[same] = np.maximum(lo[same], hi[np.flatnonzero(same) - 1] + 1)
         n = np.maximum(0, hi - lo + 1)
-        return np.repeat(doc[i], n), np.repeat(item[i], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        doc, item, win = np.repeat(doc[i], n), np.repeat(item[i], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        ok = self.share(h, of, doc, item, win) > 0
+        return doc[ok], item[ok], win[ok]
 
 
 def _postings(docs: DataFrame, vocabulary: Vocabulary, needed: Needed) -> DataFrame:
@@ -223,6 +260,24 @@ def _cut(bound: np.ndarray, col: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(n), np.concatenate(([0], np.cumsum(n[n > 0]))), col[keep], v[keep]
 
 
+def _sums(bound: np.ndarray, col: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row the sum of v times x[col] over its entries bound[r]..bound[r + 1], of which it has some: first entries of all rows at once, then second ones."""
+    pieces = -(-np.diff(bound) // PIECE)
+    begin = np.cumsum(pieces) - pieces
+    start = np.repeat(bound[:-1] - begin * PIECE, pieces) + np.arange(pieces.sum()) * PIECE
+    size = np.minimum(np.repeat(bound[1:], pieces) - start, PIECE)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    sums = np.zeros((len(size), x.shape[1]), x.dtype)
+    for k, m in enumerate(np.searchsorted(-size, -np.arange(size[0] if len(size) else 0)).tolist()):
+        part = x[col[start[:m] + k]]
+        part *= v[start[:m] + k, None]
+        sums[:m] += part
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out if len(out) == len(pieces) else np.add.reduceat(out, begin, axis=0)
+
+
 def _normal(postings: DataFrame, weight: np.ndarray, local: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
     """A^T A q over all passages, and how many they are: tasks give rows by word, which are summed by word before they reach the driver."""
     sc = postings.sparkSession.sparkContext
@@ -243,15 +298,15 @@ def _normal(postings: DataFrame, weight: np.ndarray, local: np.ndarray, q: np.nd
                 one = bound[:-1][n == 1]
                 alone += np.bincount(col[one], v[one] ** 2, minlength=len(alone))  # one word: the product is its own row
                 more = np.repeat(n > 1, n)
-                n, col, v = n[n > 1], col[more], v[more].astype(np.float32)[:, None]
+                n, col, v = n[n > 1], col[more], v[more].astype(np.float32)
                 if not len(n):
                     continue
-                z = np.add.reduceat(q[col] * v, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
+                z = _sums(np.concatenate(([0], np.cumsum(n))), col, v, q)
                 o = np.argsort(col, kind="stable")
                 c = col[o]
                 first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
                 row = np.repeat(np.arange(len(n)), n)[o]
-                out[c[first]] += np.add.reduceat(v[o] * z[row], first, axis=0)
+                out[c[first]] += _sums(np.append(first, len(c)), row, v[o], z)
         out += (alone[:, None] * q).astype(np.float32)
         has = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1), pa.int32()), pa.array([*(out[c].tobytes() for c in has), np.float64(rows).tobytes()], pa.binary())], ["w", "v"])
@@ -410,7 +465,8 @@ def _chunk(keyed: DataFrame, items: list[tuple], scratch: Scratch, c: int) -> Da
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), *(pa.array(x, pa.float64()) for x in cols[2:5]), pa.array(cols[5], pa.string())], ["id", "item", "cosine", "lcs", "answer", "kind"])
 
-    joined = keyed.join(near, (keyed["id"].eqNullSafe(near["id"])) & (keyed["k"] == near["k"])).select(keyed["id"], keyed["t"], near["c"])
+    # by sorting at any size: how many candidates there are goes with the documents
+    joined = keyed.join(near.hint("merge"), (keyed["id"].eqNullSafe(near["id"])) & (keyed["k"] == near["k"])).select(keyed["id"], keyed["t"], near["c"])
     id_kind = keyed.schema["id"].dataType.simpleString()
     return joined.mapInArrow(check, f"id {id_kind}, item string, cosine double, lcs double, answer double, kind string")
 
@@ -429,7 +485,7 @@ def _search(postings: DataFrame, weight: np.ndarray, local: np.ndarray, names: n
                 own, bound, col, val = _cut(bound, local[col], val)
                 doc, win = doc[own], win[own]
                 # unit length is that of the passage's words, so what falls outside the latent space counts against it
-                cos = np.add.reduceat(v[col] * val.astype(np.float32)[:, None], bound[:-1], axis=0) @ z.T if len(doc) else np.zeros((0, len(names)), np.float32)
+                cos = _sums(bound, col, val.astype(np.float32), v) @ z.T if len(doc) else np.zeros((0, len(names)), np.float32)
                 # of the windows of one item, which stand together, the best
                 first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
                 cos, own = np.maximum.reduceat(cos, first, axis=1), names[first]

@@ -1,6 +1,7 @@
 import gzip
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -271,6 +272,40 @@ def test_contamination_is_that_of_all_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and 0 < len(want) < len(rows) * len(items)
 
 
+def test_passages_needed_share_enough_words():
+    """What goes on to the last check: all passages it can report, and none that shares fewer words than it asks for; in one go or few places at a time."""
+    rng = random.Random(15)
+    words = decontaminate.hashes(pa.array([prose(rng, rng.choice([3, 8, 20, 70]), 60) for _ in range(12)] + [""]))
+    texts = decontaminate.hashes(pa.array([prose(rng, rng.randrange(0, 300), 60) for _ in range(40)]))
+    every = decontaminate.Vocabulary(np.unique(np.concatenate(words)))
+    needed = decontaminate.Needed(every, np.zeros(len(every.words), np.int64), words)
+    found, allowed = set(), set()
+    for i, h in enumerate(texts):
+        for n, w in enumerate(words):
+            for win in range(-(-len(h) // 32) if len(w) else 0):
+                region = h[max(0, win * 32 - len(w)) : win * 32 + 64 + len(w)]
+                if decontaminate.lcs(w, region) / len(w) >= 0.6:
+                    found.add((i, n, win))
+                if sum((Counter(w.tolist()) & Counter(region.tolist())).values()) / len(w) >= 0.6:
+                    allowed.add((i, n, win))
+    h, of = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    got = list(zip(*(x.tolist() for x in needed.passages(h, of)), strict=True))
+    assert found < set(got) <= allowed and len(got) == len(set(got))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "PLACES", 50)
+        assert list(zip(*(x.tolist() for x in needed.passages(h, of)), strict=True)) == got
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(16)
+    for longest in (1, 5, 64, 65, 300):
+        n = np.append(rng.integers(1, longest + 1, 40), longest)
+        bound = np.concatenate(([0], np.cumsum(n)))
+        col, v, x = rng.integers(0, 9, bound[-1]), rng.normal(size=bound[-1]), rng.normal(size=(9, 3))
+        assert np.allclose(decontaminate._sums(bound, col, v, x), [v[a:b] @ x[col[a:b]] for a, b in zip(bound[:-1], bound[1:], strict=True)])
+    assert decontaminate._sums(np.zeros(1, np.int64), col[:0], v[:0], x).shape == (0, 3)
+
+
 def test_contamination_of_long_items(spark):
     """Copies of items of many windows have a window's cosine, in one block or several."""
     rng = random.Random(14)
