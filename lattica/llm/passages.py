@@ -39,7 +39,8 @@ HOT, RANGES = 1024, (16, 1)
 #: Bytes of text of one suffix array, unless one anchor has more; bytes of one array, or of text, that stay in memory.
 #: Sorting a shard takes arrays of some 40 bytes for each of its own, all of them in files.
 SHARD, MEMORY = 1 << 20, 1 << 18
-SEGMENT = 1 << 20
+#: Bytes of a long row, and of short ones, whose runs are found at a time: blocks whose arrays stay in a core's cache.
+SEGMENT, BLOCK = 1 << 20, 1 << 15
 _RUN = "id long, k long, m long, ph long, p int, n int"
 
 
@@ -82,7 +83,7 @@ def runs_of(b: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRA
 
 def _segments(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of rows, long rows in segments that overlap by WIDTH - 1: bytes, ends, row numbers and where each begins in its row."""
-    for i, j in slices(off):
+    for i, j in slices(off, BLOCK):
         if j - i == 1 and off[j] - off[i] > SEGMENT:
             for a in range(int(off[i]), int(off[j]), SEGMENT):
                 e = min(int(off[j]), a + SEGMENT + WIDTH - 1)

@@ -29,6 +29,8 @@ import numpy as np
 
 #: Entries worked on at a time, and names few enough for memory (at most 2^21 - 2, as three ranks make a key).
 BATCH, BASE = 1 << 18, 1 << 17
+#: Batches of so many entries at most leave the queue an entry at a time.
+FEW = 48
 
 
 class Pool:
@@ -64,26 +66,17 @@ class Pool:
         self.close()
 
 
-class _Least:
-    """Least values of ranges, by tables of powers of two."""
-
-    def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        step = 1
-        while 2 * step <= len(x):
-            a = self.levels[-1]
-            self.levels.append(np.minimum(a[:-step], a[step:]))
-            step *= 2
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least of x[lo..hi], both included."""
-        out = np.empty(len(lo), self.levels[0].dtype)
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            at = level == k
-            t = self.levels[k]
-            out[at] = np.minimum(t[lo[at]], t[hi[at] - (1 << int(k)) + 1])
-        return out
+def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of x[lo..hi], both included, for each range: by a table of powers of two as far as the longest range needs."""
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    n, top = len(x), int(level.max())
+    table = np.empty((top + 1, n), x.dtype)
+    table[0] = x
+    for k in range(top):
+        step = 1 << k
+        np.minimum(table[k, : n - step], table[k, step:], out=table[k + 1, : n - step])
+    flat, row = table.ravel(), level.astype(np.int64) * n
+    return np.minimum(flat[row + lo], flat[row + hi + 1 - (1 << level.astype(np.int64))])
 
 
 def _blocks(n: int):
@@ -119,8 +112,8 @@ def _count(key: np.ndarray, at: np.ndarray | None, member: np.ndarray | None, si
     return out
 
 
-def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, run: np.ndarray | None, sigma: int, cap: int, pool: Pool, last: int = -1) -> tuple[np.ndarray, np.ndarray | None]:
-    """All suffixes i with member[i], in order of key, from `seeds` in that order.
+def induce(key: np.ndarray, member: np.ndarray, counts: np.ndarray, seeds: np.ndarray, seed_counts: np.ndarray, seed_lcp: np.ndarray | None, run: np.ndarray | None, sigma: int, cap: int, pool: Pool, last: int = -1) -> tuple[np.ndarray, np.ndarray | None]:
+    """All suffixes i with member[i], in order of key, from `seeds` in that order; counts tell how many of each begin with each symbol.
 
     Of equal first symbols members come before seeds. A suffix i that leaves induces i - 1 if that is a
     member. seed_lcp: common prefix of each seed with the seed before it; None to sort without prefixes.
@@ -128,7 +121,6 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
     the last segment.
     """
     n = len(key)
-    counts = _count(key, None, member, sigma, pool)
     begin = _offsets(counts, pool)
     out = pool.empty(int(begin[-1]), _wide(n))
     small = _least_type(cap)
@@ -138,12 +130,13 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
     if last >= 0:
         out[-1] = last
         fill[-1] = 1
-    seed_begin = _offsets(_count(key, seeds, None, sigma, pool), pool)
+    seed_begin = _offsets(seed_counts, pool)
     since = pool.empty(sigma, small)  # least prefix after the last entry that induced into each segment
     live = np.zeros(0, np.int64)  # where `since` is not 0: only while one symbol lasts
     shared = pool.empty(sigma, bool)  # symbols whose members wait for their turn
     np.greater(counts, 1, out=shared)
-    for a, b in _blocks(n):
+    single = any((counts[a:b] == 1).any() for a, b in _blocks(sigma - (last >= 0)))  # the last has its place
+    for a, b in _blocks(n) if single else ():
         alone = np.flatnonzero(member[a:b] & ~shared[key[a:b]]) + a
         out[begin[key[alone]]] = alone
         fill[key[alone]] = 1
@@ -158,21 +151,65 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
             since[live] = 0
             live = live[:0]
 
+    def leave_few(pos: list[int], lcp: list[int] | None) -> None:
+        """As leave(), an entry at a time: calls of numpy cost more than a few entries do."""
+        nonlocal live
+        low, own = int(top), {}  # least prefix so far, and after the last entry into each segment
+        for e, p in enumerate(pos):
+            if lcp is not None:
+                l = lcp[e]
+                low = min(low, l)
+                for d, x in own.items():
+                    if l < x:
+                        own[d] = l
+            if not p or not member[p - 1]:
+                continue
+            d = int(key[p - 1])
+            if not shared[d]:
+                continue
+            before = int(fill[d])
+            to = int(begin[d]) + before
+            out[to] = p - 1
+            if lcp is not None:
+                x = own[d] if d in own else min(int(since[d]), low)
+                lcps[to] = min(x, cap - 1) + 1 if before else 0
+                own[d] = int(top)
+            fill[d] = before + 1
+            missing[d] -= 1
+        if lcp is not None and pos:
+            fade(low)
+            stays = [d for d, x in own.items() if x and not since[d]]
+            for d, x in own.items():
+                since[d] = x
+            if stays:
+                live = np.append(live, stays)
+
     def leave(pos: np.ndarray, lcp: np.ndarray | None) -> None:
         nonlocal live
-        at = np.flatnonzero(pos)
-        q = pos[at] - 1
+        if len(pos) <= FEW:
+            leave_few(pos.tolist(), None if lcp is None else lcp.tolist())
+            return
+        q = pos - 1
         d = key[q]
-        keep = np.flatnonzero(member[q] & shared[d])
-        if not len(keep):
+        ok = member[q]
+        ok &= shared[d]
+        if not pos.all():
+            ok[pos == 0] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
             if lcp is not None and len(live):
                 fade(int(lcp.min()))
             return
-        d = d[keep]
-        order = np.argsort(d, kind="stable")
-        d, keep = d[order], keep[order]
-        q, at = q[keep], at[keep]
+        d = d[at]
         m = len(d)
+        if d.dtype == np.int32:  # a plain sort of symbols and places is faster than a stable one of symbols
+            both = (d.astype(np.int64) << 32) | np.arange(m)
+            both.sort()
+            d, order = both >> 32, both & 0xFFFFFFFF
+        else:
+            order = np.argsort(d, kind="stable")
+            d = d[order]
+        at = at[order]
         new = np.empty(m, bool)
         new[0] = True
         np.not_equal(d[1:], d[:-1], out=new[1:])
@@ -182,26 +219,33 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
         np.subtract(first[1:], first[:-1], out=size[:-1])
         size[-1] = m - first[-1]
         before = fill[group]
-        to = np.repeat(begin[group] + before - first, size) + np.arange(m)
-        out[to] = q
+        to = np.repeat(begin[group] + before - first, size)
+        to += np.arange(m)
+        out[to] = q[at]
         if lcp is not None:
-            v = np.empty(m, small)
-            k = np.flatnonzero(~new)
+            low = int(lcp.min())
+            v = np.zeros(m, small)
+            np.logical_not(new, out=new)
+            if low == 0:  # what nothing separates from the entry before that went there shares more than that
+                part = np.cumsum(lcp == 0)[at]
+                new[1:] &= part[1:] == part[:-1]
+            k = np.flatnonzero(new)
             if len(k):
-                v[k] = _Least(lcp).of(at[k - 1] + 1, at[k])
+                v[k] = _least(lcp, at[k - 1] + 1, at[k])
             v[first] = np.minimum(since[group], np.minimum.accumulate(lcp)[at[first]])
-            v = np.minimum(v, cap - 1) + small(1)
+            np.minimum(v, cap - 1, out=v)
+            v += small(1)
             v[first[before == 0]] = 0
             lcps[to] = v
-            fade(int(lcp.min()))
+            fade(low)
             rest = np.empty(len(lcp) + 1, small)
             rest[-1] = top
             np.minimum.accumulate(lcp[::-1], out=rest[-2::-1])
             after = rest[at[first + size - 1] + 1]
+            stays = group[(after > 0) & (since[group] == 0)]  # others are live already
             since[group] = after
-            stays = group[after > 0]
             if len(stays):
-                live = np.union1d(live, stays) if len(live) else stays
+                live = np.append(live, stays)
         fill[group] = before + size
         missing[group] -= size
 
@@ -238,7 +282,22 @@ def induce(key: np.ndarray, member: np.ndarray, seeds: np.ndarray, seed_lcp: np.
                     if a == slo:
                         l[0] = min(int(run[out[hi - 1]]), int(run[s[0]])) if hi > begin[c] else 0
                 leave(s, l)
-        elif hi > lo or shi > slo:
+        elif hi - lo + shi - slo <= FEW:
+            l, m, s = None, out[lo:hi], seeds[slo:shi]
+            ends = [*zip(key[m].tolist(), m.tolist(), strict=True)], [*zip(key[s].tolist(), s.tolist(), strict=True)]
+            line = sorted([(k, 0, e) for e, (k, _) in enumerate(ends[0])] + [(k, 1, e) for e, (k, _) in enumerate(ends[1])])
+            if lcps is not None:
+                given, l = (lcps[lo:hi].tolist(), seed_lcp[slo:shi].tolist()), []
+                before = (c, 0, int(out[lo - 1])) if read else (-1, 0, 0)  # the entry that left last: symbol, kind, position
+                for k, kind, e in line:
+                    at = ends[kind][e][1]
+                    if not kind or before[:2] == (k, 1):
+                        l.append(given[kind][e])
+                    else:  # the first seed of a symbol, after its last member if there is one
+                        l.append(min(int(run[before[2]]), int(run[at])) if before[0] == k else 0)
+                    before = k, kind, at
+            leave_few([ends[kind][e][1] for _, kind, e in line], l)
+        else:
             m, s = out[lo:hi].astype(np.int64), seeds[slo:shi].astype(np.int64)
             km, ks = key[m], key[s]
             at_m = np.arange(len(m)) + np.searchsorted(ks, km, side="left")
@@ -401,7 +460,8 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BA
         done += len(x)
 
     # order of LMS substrings, from that of their first symbols
-    at = _offsets(_count(t, lms, None, sigma, pool), pool)
+    falls, rises, starts = _count(t, None, fall, sigma, pool), _count(t, None, rise, sigma, pool), _count(t, lms, None, sigma, pool)
+    at = _offsets(starts, pool)
     for a, b in _blocks(m):
         x = np.array(lms[a:b])
         k = t[x]
@@ -411,8 +471,8 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BA
         size = np.diff(np.append(first, len(k)))
         seeds[np.repeat(at[k[first]] - first, size) + np.arange(len(k))] = x
         at[k[first]] += size
-    down, _ = induce(t, fall, seeds, None, None, sigma, cap, pool)
-    up, _ = induce(mirrored, rise, down[::-1], None, None, sigma, cap, pool, last=n - 1)
+    down, _ = induce(t, fall, falls, seeds, starts, None, None, sigma, cap, pool)
+    up, _ = induce(mirrored, rise, rises[::-1], down[::-1], falls[::-1], None, None, sigma, cap, pool, last=n - 1)
     order, done = pool.empty(m, wide), 0
     for a, b in reversed(list(_blocks(len(up)))):
         x = up[a:b][::-1]
@@ -443,12 +503,11 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, pool: Pool, base: int = BA
 
     del sub, known, reduced, order
     # all suffixes
-    down, down_lcp = induce(t, fall, seeds, seed_lcp, run, sigma, cap, pool)
+    down, down_lcp = induce(t, fall, falls, seeds, starts, seed_lcp, run, sigma, cap, pool)
     back = pool.empty(len(down), small)
     back[1:] = down_lcp[:0:-1]
-    up, up_lcp = induce(mirrored, rise, down[::-1], back, run, sigma, cap, pool, last=n - 1)
+    up, up_lcp = induce(mirrored, rise, rises[::-1], down[::-1], falls[::-1], back, run, sigma, cap, pool, last=n - 1)
     del mirrored, back, seeds, seed_lcp, lms
-    falls, rises = _count(t, None, fall, sigma, pool), _count(t, None, rise, sigma, pool)
     falls_to, rises_to = _offsets(falls, pool), _offsets(rises, pool)
     sa, lcp = pool.empty(n, wide), pool.empty(n, small)
     for a, b in _blocks(len(down)):

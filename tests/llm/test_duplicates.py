@@ -102,6 +102,41 @@ def test_suffix_arrays():
             assert h == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_suffix_arrays_by_entries_and_by_batches(monkeypatch):
+    """Few entries leave the queue one by one, more at once, and blocks may end anywhere: all give what sorting suffixes gives."""
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        n, s = int(rng.integers(1, 400)), int(rng.integers(1, 6))
+        body = rng.integers(1, s + 1, n)
+        if trial % 3 == 0:  # copies with changes, as near duplicates have them
+            body = np.tile(body[: int(rng.integers(1, 60))], 1 + n // 20)[:n]
+            body[rng.integers(0, len(body), 3)] = 1
+        t, cap = np.append(body, 0).astype((np.uint16, np.int32)[trial % 2]), int(rng.choice([2, 7, 200, 300]))
+        want = sorted(tuple(t[i : i + cap]) for i in range(len(t)))
+        base, seen = int(rng.choice([0, 1 << 20])), []
+        for few, batch in ((0, 1 << 18), (0, 13), (3, 1 << 18), (3, 13), (1 << 30, 1 << 18), (1 << 30, 13)):
+            monkeypatch.setattr(suffix, "FEW", few)
+            monkeypatch.setattr(suffix, "BATCH", batch)
+            with suffix.Pool(64 if trial % 2 else 1 << 20) as pool:
+                sa, lcp = suffix.suffix_array(t, int(t.max()) + 1, cap, pool, base=base)
+                seen.append((np.array(sa), np.array(lcp)))
+            assert [tuple(t[i : i + cap]) for i in seen[-1][0]] == want and sorted(seen[-1][0]) == list(range(len(t)))
+        for _, lcp in seen:
+            for a, b, h in zip(want[:-1], want[1:], lcp[1:], strict=True):
+                assert h == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_few_entries_of_a_queue_are_cheap(monkeypatch):
+    """Names of texts that differ here and there leave the queue a few at a time, which is not worth a sort by numpy each."""
+    rng = np.random.default_rng(3)
+    t = np.append(np.concatenate([rng.integers(2, 200, 300), rng.integers(2, 200, 400)] * 3), 0).astype(np.uint16)
+    calls, plain = [], np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    with suffix.Pool() as pool:
+        suffix.suffix_array(t, 258, 200, pool, base=0)
+    assert len(calls) < 100
+
+
 def removed(rows, width):
     seen, out = {}, []
     raw = [(i, (t or "").encode()) for i, t in rows]
