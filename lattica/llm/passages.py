@@ -3,7 +3,9 @@
 Sharding: every window of WIDTH bytes is assigned to the least-hashed GRAM bytes in it (its anchor; the
 leftmost, of equals). Equal windows have equal anchors, so windows fall into runs of neighbours with one
 anchor, and a run's text, with what its last window needs, can go to its anchor's shard. Only anchors that
-occur twice matter. Runs with equal text are sent once, with their number. An anchor with more than HOT
+occur twice matter. Runs with equal text are sent once, with their number. Neighbouring runs share WIDTH - 1 bytes;
+those that are the only text of their anchors go as one string, up to CHAIN windows, as no other shard asks for any
+of them, so what texts have in common for long is sorted about once instead of four times. An anchor with more than HOT
 different runs is split again by what all windows of a narrow range around it have in common, so that no
 anchor, however common, makes a task grow without bound.
 
@@ -39,6 +41,8 @@ HOT, RANGES = 1024, (16, 1)
 #: Bytes of text of one suffix array, unless one anchor has more; bytes of one array, or of text, that stay in memory.
 #: Sorting a shard takes arrays of some 40 bytes for each of its own, all of them in files.
 SHARD, MEMORY = 1 << 20, 1 << 18
+#: Windows of neighbouring runs that go to a shard as one string.
+CHAIN = 1 << 15
 #: Bytes of a long row, and of short ones, whose runs are found at a time: blocks whose arrays stay in a core's cache.
 SEGMENT, BLOCK = 1 << 20, 1 << 15
 _RUN = "id long, k long, m long, ph long, p int, n int"
@@ -125,9 +129,10 @@ class _Shard:
         self.held = 0
         self.file = None
         self.numbers: list[tuple[np.ndarray, ...]] = []
+        self.more: list[tuple[np.ndarray, ...]] = []
 
     def add(self, rows: pa.RecordBatch) -> None:
-        """Rows m, ph, n, c, piece; those that repeat the last row's m, ph and n, of which a repeated row has several, are left out."""
+        """Rows m, ph, n, c, piece, more (may be missing); those that repeat the last row's m, ph and n, of which a repeated row has several, are left out."""
         m, ph, n, c = (rows.column(k).to_numpy() for k in range(4))
         data, off = buffers(rows.column(4))
         new = np.concatenate(([True], (m[1:] != m[:-1]) | (ph[1:] != ph[:-1]) | (n[1:] != n[:-1])))
@@ -138,7 +143,29 @@ class _Shard:
             return
         size = np.diff(off)
         self._spool(data if new.all() else data[np.repeat(new, size)])
-        self.numbers.append((m[new], ph[new], n[new], c[new], size[new]))
+        count = np.zeros(len(m), np.int64)
+        if rows.num_columns > 5:
+            more = rows.column(5)
+            count = more.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            of = np.repeat(new, count)
+            self.more.append(tuple(x.to_numpy()[of] for x in more.flatten().flatten()))
+        self.numbers.append((m[new], ph[new], n[new], c[new], size[new], count[new]))
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """The runs of all strings: string, where it begins there, m, ph, n."""
+        m, ph, n, _, _, count = (np.concatenate(x) for x in zip(*self.numbers, strict=True))
+        head = np.cumsum(count + 1) - count - 1  # where the first run of each string stands
+        rest = np.ones(len(m) + int(count.sum()), bool)
+        rest[head] = False
+        out = []
+        for k, x in enumerate((m, ph, n.astype(np.int64))):
+            y = np.empty(len(rest), np.int64)
+            y[head] = x
+            if self.more:
+                y[rest] = np.concatenate([more[k] for more in self.more])
+            out.append(y)
+        before = np.cumsum(out[2]) - out[2]
+        return np.repeat(np.arange(len(m)), count + 1), before - np.repeat(before[head], count + 1), *out
 
     def _spool(self, data: np.ndarray) -> None:
         self.size += len(data)
@@ -226,20 +253,29 @@ def repeats(data: np.ndarray, size: np.ndarray, weight: np.ndarray, width: int =
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows m, ph, n, c, piece sorted by m, ph, n: spans for those runs that have repeated windows. Whole anchors make a shard."""
+    """Rows m, ph, n, c, piece, more (may be missing) sorted by m, ph, n: spans for those runs that have repeated windows. Whole anchors make a shard."""
     env_threads()
     shard = _Shard(MEMORY)
 
     def done() -> pa.RecordBatch:
-        m, ph, n, c, size = (np.concatenate(x) for x in zip(*shard.numbers, strict=True))
+        _, _, _, c, size, _ = (np.concatenate(x) for x in zip(*shard.numbers, strict=True))
+        string, off, m, ph, n = shard.runs()
         try:
             of, s, e = repeats(shard.bytes_(), size, c, pool=shard.pool)
         finally:
             shard.close()
-        runs = np.unique(of)
-        ends = pa.array(np.append(np.searchsorted(of, runs), len(of)).astype(np.int32))
+        # each run's part of its string's spans
+        lo = np.searchsorted(of, string, side="left")
+        many = np.searchsorted(of, string, side="right") - lo
+        run = np.repeat(np.arange(len(string)), many)
+        at = np.arange(len(run)) + np.repeat(lo - np.cumsum(many) + many, many)
+        s, e = np.maximum(s[at] - off[run], 0), np.minimum(e[at] - off[run], n[run] + WIDTH - 1)
+        whole = e - s >= WIDTH  # holds a window of the run
+        run, s, e = run[whole], s[whole], e[whole]
+        has = np.unique(run)
+        ends = pa.array(np.append(np.searchsorted(run, has), len(run)).astype(np.int32))
         spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
-        return pa.RecordBatch.from_arrays([pa.array(m[runs]), pa.array(ph[runs]), pa.array(n[runs]), spans], ["m", "ph", "n", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(m[has]), pa.array(ph[has]), pa.array(n[has].astype(np.int32)), spans], ["m", "ph", "n", "spans"])
 
     for b in batches:
         at = 0
@@ -261,6 +297,16 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _apart(rows: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """m, ph, n, c, piece of every run, those laid together too: they get here if rows repeat an id and text that often."""
+    for m, ph, n, c, piece, *more in zip(*(x.to_pylist() for x in rows.columns), strict=True):
+        yield m, ph, n, c, piece[: n + WIDTH - 1]
+        at = n
+        for r in (more[0] or ()) if more else ():
+            yield r["m"], r["ph"], r["n"], c, piece[at : at + r["n"] + WIDTH - 1]
+            at += r["n"]
+
+
 def _refine(width: int):
     """Cut the runs of hot anchors by ranges of `width` windows; the new anchor hashes what all windows of the range share."""
 
@@ -268,7 +314,7 @@ def _refine(width: int):
         env_threads()
         for b in batches:
             cols = ([], [], [], [], [], [], [], [], [])
-            for m, ph, n, c, piece in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for m, ph, n, c, piece in _apart(b):
                 x = np.frombuffer(piece, np.uint8)
                 total, down = _sums(x)
                 if width == 1:
@@ -294,11 +340,43 @@ def _refine(width: int):
     return run
 
 
+def _slice_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of compressed texts and their runs p, n, m, ph, c, alone: the strings for the shards. Neighbouring runs that are alone
+    make one string, called by the first, standing for the least number of any; more tells the others."""
+    env_threads()
+    for b in batches:
+        lists = b.column(1)
+        size = lists.value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(b.num_rows), size)
+        p, n, m, ph, c, alone = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+        if not len(p):
+            continue
+        o = np.lexsort((p, row))
+        p, n, m, ph, c, alone = (x[o] for x in (p, n, m, ph, c, alone))
+        joins = alone[1:] & alone[:-1] & (row[1:] == row[:-1]) & (p[1:] == p[:-1] + n[:-1])
+        new = np.concatenate(([True], ~joins))
+        part = (p - p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]) // CHAIN
+        new[1:] |= part[1:] != part[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(p)) - 1
+        start, stop, of = p[first].tolist(), (p[last] + n[last] + WIDTH - 1).tolist(), row[first].tolist()
+        texts = b.column(0)
+        pieces, held, text = [], -1, b""
+        for r, x, y in zip(of, start, stop, strict=True):
+            if r != held:
+                held, text = r, _inflate(texts[r].as_py())
+            pieces.append(text[x:y])
+        ends = pa.array(np.append(0, np.cumsum(last - first)).astype(np.int32))
+        more = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x[~new]) for x in (m, ph, n)], ["m", "ph", "n"]))
+        yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(ph[first]), pa.array(n[first]), pa.array(np.minimum.reduceat(c, first)), pa.array(pieces, pa.binary()), more], ["m", "ph", "n", "c", "piece", "more"])
+
+
+_PIECE = "m long, ph long, n int, c long, piece binary, more array<struct<m:long,ph:long,n:int>>"
 _SPANS = "m long, ph long, n int, spans array<struct<s:int,e:int>>"
 
 
 def _detect(pieces: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
-    """pieces: m, ph, n, c, piece, kept as a table. Spans of repeated windows in each run."""
+    """pieces: m, ph, n, c, piece and, for runs laid together, more, kept as a table. Spans of repeated windows in each run."""
     search = lambda p: p.repartition("m").sortWithinPartitions("m", "ph", "n").mapInArrow(_search, _SPANS)
     if level == len(RANGES):
         return scratch.keep(search(pieces), f"spans-{level}")
@@ -330,27 +408,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = _keys(docs, id_col, text_col)
     runs = scratch.keep(keyed.mapInArrow(_find_runs, _RUN), "runs")
     # kept as a table, so that the join that follows can split a common anchor
-    twice = scratch.keep(runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "twice")
-    places = scratch.keep(runs.join(twice, "m").select("id", "k", "m", "ph", "p", "n"), "places")
+    twice = scratch.keep(runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), ((F.min("ph") == F.max("ph")) & (F.min("n") == F.max("n"))).alias("alone")).where("c > 1").select("m", "alone"), "twice")
+    places = scratch.keep(runs.join(twice, "m").select("id", "k", "m", "ph", "p", "n", "alone"), "places")
     for step in ("runs", "twice"):
         scratch.drop(step)
-    once = places.groupBy("m", "ph", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "k", "p")).alias("r"))
-    asked = once.groupBy("r.id", "r.k").agg(F.collect_list(F.struct("r.p", "n", "m", "ph", "c")).alias("runs"))
-
-    def slice_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        env_threads()
-        for b in batches:
-            data, off = b.column(0), b.column(1)
-            cols = ([], [], [], [], [])
-            for z, rs in zip(data.to_pylist(), off.to_pylist(), strict=True):
-                text = _inflate(z)
-                for r in rs:
-                    for col, v in zip(cols, (r["m"], r["ph"], r["n"], r["c"], text[r["p"] : r["p"] + r["n"] + WIDTH - 1]), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["m", "ph", "n", "c", "piece"])
-
+    once = places.groupBy("m", "ph", "n", "alone").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "k", "p")).alias("r"))
+    asked = once.groupBy("r.id", "r.k").agg(F.collect_list(F.struct("r.p", "n", "m", "ph", "c", "alone")).alias("runs"))
     fetched = _deflated(keyed, "t").join(asked, ["id", "k"]).select("t", "runs")
-    pieces = scratch.keep(fetched.mapInArrow(slice_runs, "m long, ph long, n int, c long, piece binary"), "pieces")
+    pieces = scratch.keep(fetched.mapInArrow(_slice_runs, _PIECE), "pieces")
     spans = _detect(pieces, scratch)
     placed = places.join(spans, ["m", "ph", "n"]).select("id", "k", F.transform("spans", lambda x: F.struct((x["s"] + F.col("p")).alias("s"), (x["e"] + F.col("p")).alias("e"))).alias("spans"))
     out = scratch.keep(placed.groupBy("id", "k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeated")

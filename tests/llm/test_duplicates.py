@@ -166,6 +166,26 @@ def test_repeats_are_those_of_all_windows(spark, monkeypatch, hot):
         assert (r.text is None) == (r._ps_bytes == 0 and dict(rows)[r.doc_id] is None)
 
 
+def test_neighbouring_runs_of_copies_go_together(spark, monkeypatch):
+    """What copies have in common is sorted about once, though every 200 bytes of it may have places of their own."""
+    rng = random.Random(22)
+    text = prose(rng, 9000, 10**6)
+    half, other = text[: len(text) // 2], prose(rng, 200, 10**6)
+    near = text[:9000] + " changed " + text[9000:]
+    rows = [(1, text), (2, text), (3, other + half + " " + other), (4, other + " " + near), (4, None), (None, text[-5000:]), (6, text[100:400] * 2)]
+    plain, sizes = passages._detect, []
+
+    def detect(pieces, scratch, level=0):
+        sizes.append(pieces.selectExpr("sum(length(piece))").collect()[0][0])
+        return plain(pieces, scratch, level)
+
+    monkeypatch.setattr(passages, "_detect", detect)
+    got = passages.cut(frame(spark, rows)).collect()
+    assert len(text) > 1.5 * passages.CHAIN and sizes[0] < 1.5 * (len(text) + len(other))
+    key = lambda r: repr(r)
+    assert sorted(((r.doc_id, r._ps_bytes, r._ps_removed, r._ps_spans, r._ps_sha256) for r in got), key=key) == sorted(removed(rows, passages.WIDTH), key=key)
+
+
 def test_repeats_of_nothing(spark):
     assert passages.cut(empty(spark)).count() == 0
     assert passages.cut(frame(spark, [(1, "short"), (2, None)])).selectExpr("sum(_ps_removed)").collect()[0][0] == 0
